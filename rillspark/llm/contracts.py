@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillspark.llm import orcids, packing, simhash
+from rillspark.llm import licenses, mixing, orcids, packing, simhash
 from rillspark.llm.common import documents, new_path
 
-NAMES = ["op7_orc_token_ids", "op9_hierarchical_packing", "op10_simhash_components"]
-SQL: dict[str, str] = {}
+NAMES = ["op1_license_digests", "op8_sainte_lague_mix", "op7_orc_token_ids", "op9_hierarchical_packing", "op10_simhash_components"]
+SQL: dict[str, str] = {"op1_license_digests": licenses.sql(), "op8_sainte_lague_mix": mixing.SQL}
+
+
+def op1_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(documents(spark, sf_dir))
+
+
+def op8_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
