@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rillspark.llm import licenses, mixing, orcids, packing, simhash
-from rillspark.llm.common import documents, new_path
+from rillspark.llm import chat, licenses, media, mixing, orcids, packing, simhash
+from rillspark.llm.common import cut, documents, new_path, read
 
-NAMES = ["op1_license_digests", "op8_sainte_lague_mix", "op7_orc_token_ids", "op9_hierarchical_packing", "op10_simhash_components"]
+NAMES = ["op1_license_digests", "op3_chunked_media", "op6_chat_segments", "op8_sainte_lague_mix", "op7_orc_token_ids", "op9_hierarchical_packing", "op10_simhash_components"]
 SQL: dict[str, str] = {"op1_license_digests": licenses.sql(), "op8_sainte_lague_mix": mixing.SQL}
 
 
@@ -19,6 +20,19 @@ def op8_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_back(media.write(documents(spark, sf_dir)))
+
+
+def op6_chat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
+    rows = rows.union(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema).coalesce(1))
+    turns = cut(chat.format_turns(rows), "turns")
+    checked = chat.conversations(turns).withColumnRenamed("conv_id", "its_id")
+    return chat.digests(turns).join(checked, F.col("conv_id").eqNullSafe(F.col("its_id"))).drop("its_id")
+
+
 def op7_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = new_path(spark, "token-ids")
     orcids.write_ids(documents(spark, sf_dir), to)
