@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillspark.llm import chat, licenses, media, mixing, orcids, packing, simhash
+from rillspark.llm import chat, licenses, media, mixing, orcids, packing, quality, simhash
 from rillspark.llm.common import cut, documents, new_path, read
 
-NAMES = ["op1_license_digests", "op3_chunked_media", "op6_chat_segments", "op8_sainte_lague_mix", "op7_orc_token_ids", "op9_hierarchical_packing", "op10_simhash_components"]
+NAMES = ["op1_license_digests", "op3_chunked_media", "op4_tokeniser_fertility", "op6_chat_segments", "op8_sainte_lague_mix", "op7_orc_token_ids", "op9_hierarchical_packing", "op10_simhash_components"]
 SQL: dict[str, str] = {"op1_license_digests": licenses.sql(), "op8_sainte_lague_mix": mixing.SQL}
 
 
@@ -24,6 +24,10 @@ def op3_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.write(documents(spark, sf_dir)))
 
 
+def op4_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(documents(spark, sf_dir))
+
+
 def op6_chat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
