@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillspark.llm import chat, licenses, media, mixing, orcids, packing, quality, simhash
+from rillspark.llm import chat, licenses, media, mixing, orcids, packing, quality, simhash, toxicity
 from rillspark.llm.common import cut, documents, new_path, read
 
-NAMES = ["op1_license_digests", "op3_chunked_media", "op4_tokeniser_fertility", "op6_chat_segments", "op8_sainte_lague_mix", "op7_orc_token_ids", "op9_hierarchical_packing", "op10_simhash_components"]
+#: A text is predicted to be toxic from this score on.
+TOXIC = 0.3
+NAMES = ["op1_license_digests", "op2_factorization_machine", "op3_chunked_media", "op4_tokeniser_fertility", "op6_chat_segments", "op8_sainte_lague_mix", "op7_orc_token_ids", "op9_hierarchical_packing", "op10_simhash_components"]
 SQL: dict[str, str] = {"op1_license_digests": licenses.sql(), "op8_sainte_lague_mix": mixing.SQL}
 
 
@@ -20,6 +22,13 @@ def op8_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    machine = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), machine)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op3_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.write(documents(spark, sf_dir)))
 
