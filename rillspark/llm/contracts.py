@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillspark.llm import chat, licenses, media, mixing, orcids, packing, quality, simhash, toxicity
+from rillspark.llm import chat, licenses, media, mixing, orcids, packing, passages, quality, simhash, toxicity
 from rillspark.llm.common import cut, documents, new_path, read
 
 #: A text is predicted to be toxic from this score on.
 TOXIC = 0.3
-NAMES = ["op1_license_digests", "op2_factorization_machine", "op3_chunked_media", "op4_tokeniser_fertility", "op6_chat_segments", "op8_sainte_lague_mix", "op7_orc_token_ids", "op9_hierarchical_packing", "op10_simhash_components"]
+NAMES = ["op1_license_digests", "op2_factorization_machine", "op3_chunked_media", "op4_tokeniser_fertility", "op5_repeated_passages", "op6_chat_segments", "op8_sainte_lague_mix", "op7_orc_token_ids", "op9_hierarchical_packing", "op10_simhash_components"]
 SQL: dict[str, str] = {"op1_license_digests": licenses.sql(), "op8_sainte_lague_mix": mixing.SQL}
 
 
@@ -37,6 +37,10 @@ def op4_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(documents(spark, sf_dir))
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(documents(spark, sf_dir)).drop("key")
+
+
 def op6_chat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")

@@ -83,6 +83,37 @@ def apportion(aims: DataFrame, block_words: int, shards: int, most: int = 3) ->
     return rows.join(won, ["shard", "place"], "left").select("shard", "source", "place", (F.col("low") + F.coalesce("won", F.lit(0))).alias("seats"))
 
 
+def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], most: int, block_words: int, shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The quotas, and for each source and hash bucket: where it begins in its source, and what the source takes."""
+    rows = picked(docs, doc_id=id_col, text=text_col, source=source_col)
+    sized = cut(rows.select("source", n_words(F.col("text")).alias("size"), bucket(F.col("doc_id"), seed).alias("bucket")).groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "sizes")
+    aims = cut(targets(sized.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, most), "targets")
+    seats = cut(apportion(aims, block_words, shards, most), "seats")
+    quota = F.col("seats") - F.coalesce(F.lag("seats").over(Window.partitionBy("place").orderBy("shard")), F.lit(0))
+    quotas = seats.select("shard", "source", quota.alias("blocks"))
+    last = seats.where(F.col("shard") == shards).select("place", (F.col("seats") * block_words).alias("words"))
+    aimed = aims.join(last, "place", "left").select(F.col("source").alias("__source"), "source_size", "target", F.coalesce("words", F.lit(0)).alias("words"))
+    at = F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_size")
+    placed = sized.withColumn("bucket_at", at).join(aimed, F.col("source").eqNullSafe(F.col("__source"))).drop("source", "bucket_size")
+    return quotas, placed.select(*(F.col(c).alias(c if c == "__source" else f"__{c}") for c in placed.columns))
+
+
+def bucket(doc_id: Column, seed: int) -> Column:
+    return F.shiftright(seeded(doc_id, seed), HASH_BITS - BUCKET_BITS).cast("int")
+
+
+def _taken(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """docs, all columns, with __size and __taken, and with __source_size and __target of the source."""
+    doc_id, source = F.col(f"`{id_col}`"), F.col(f"`{source_col}`")
+    rows = docs.withColumns({"__size": n_words(F.col(f"`{text_col}`")), "__h": seeded(doc_id, seed)}).withColumn("__its_bucket", F.shiftright("__h", HASH_BITS - BUCKET_BITS).cast("int"))
+    found = rows.join(placed, source.eqNullSafe(F.col("__source")) & (F.col("__its_bucket") == F.col("__bucket")))
+    own = Window.partitionBy("__source", "__bucket").orderBy("__h", doc_id.asc_nulls_first(), "__size").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.col("__bucket_at") + F.sum("__size").over(own) - F.col("__size")
+    rounds, rest = F.expr("__words div greatest(__source_size, 1)"), F.expr("__words % greatest(__source_size, 1)")
+    taken = rounds * F.col("__size") + F.greatest(F.lit(0), F.least(F.col("__size"), rest - F.col("__start")))
+    return found.withColumn("__start", start).withColumn("__taken", taken.cast("bigint"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block_words: int = 16, shards: int = 64, seed: int = 7) -> Mix:
     """Mix all documents by source; see Mix.
 
@@ -91,26 +122,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Repeated rows count once each. An empty table gives empty results. Reruns agree: order hangs on seed, id and size only.
     A source's order is split by hash bucket, so that a hot source's documents are summed in many tasks.
     """
-    rows = picked(docs, doc_id=id_col, text=text_col, source=source_col)
-    h = seeded(F.col("doc_id"), seed)
-    sized = cut(rows.select("doc_id", "source", n_words(F.col("text")).alias("size"), h.alias("h"), F.shiftright(h, HASH_BITS - BUCKET_BITS).cast("int").alias("bucket")), "sizes")
-    buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    aims = cut(targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, most), "targets")
-    seats = cut(apportion(aims, block_words, shards, most), "seats")
-    quota = F.col("seats") - F.coalesce(F.lag("seats").over(Window.partitionBy("place").orderBy("shard")), F.lit(0))
-    quotas = seats.select("shard", "source", quota.alias("blocks"))
-    last = seats.where(F.col("shard") == shards).select("place", (F.col("seats") * block_words).alias("words"))
-    aimed = aims.join(last, "place", "left").select(F.col("source").alias("its_source"), "source_size", "target", F.coalesce("words", F.lit(0)).alias("words"))
-    at = F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_size")
-    placed = buckets.withColumn("bucket_at", at).join(aimed, F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source", "bucket_size")
-    placed = placed.select(F.col("source").alias("its_source"), F.col("bucket").alias("its_bucket"), "bucket_at", "source_size", "target", "words")
-    found = sized.join(placed, F.col("source").eqNullSafe(F.col("its_source")) & (F.col("bucket") == F.col("its_bucket")))
-    own = Window.partitionBy("source", "bucket").orderBy("h", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.col("bucket_at") + F.sum("size").over(own) - F.col("size")
-    rounds, rest = F.expr("words div greatest(source_size, 1)"), F.expr("words % greatest(source_size, 1)")
-    taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
-    done = found.withColumn("start", start).select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
-    return Mix(quotas, done)
+    quotas, placed = _plan(docs, id_col, text_col, source_col, weights, most, block_words, shards, seed)
+    rows = picked(docs, doc_id=id_col, text=text_col, source=source_col).select("doc_id", "source", "text")
+    done = _taken(rows, placed, "doc_id", "text", "source", seed)
+    return Mix(quotas, done.select("doc_id", "source", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken")))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block_words: int = 16, shards: int = 64, seed: int = 7) -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each time that a document is taken.
+
+    A document taken whole keeps its text; where its source's blocks end within it, a row has its first words alone, with
+    the white space before each, and chars_col, if it is a column, follows. Documents of which nothing is taken have no row.
+    """
+    _, placed = _plan(docs, id_col, text_col, source_col, weights, most, block_words, shards, seed)
+    rows = _taken(docs, placed, id_col, text_col, source_col, seed).where("__taken > 0")
+    times = rows.withColumn("__part", F.explode(F.expr("transform(sequence(1, cast(ceil(__taken / cast(__size as double)) as int)), i -> least(__size, __taken - (i - 1) * __size))")))
+    text, part = F.col(f"`{text_col}`"), F.col("__part")
+    words = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"))
+    whole = part == F.col("__size")
+    out = {text_col: F.when(whole, text).otherwise(F.array_join(F.slice(words, F.lit(1), part.cast("int")), ""))}
+    if chars_col in docs.columns:
+        out[chars_col] = F.when(whole, F.col(f"`{chars_col}`")).otherwise(F.char_length(out[text_col]))
+    return times.select(*(out[c].cast(docs.schema[c].dataType).alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns))
 
 
 SQL = rf"""

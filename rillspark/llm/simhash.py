@@ -14,13 +14,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillspark.llm.common import arrow_schema, cut, drop_cut, map_arrow, picked
 from rillspark.llm.graph import components
 
-_GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Fewest fingerprints of a posting that are compared by flipped bits instead of one another.
 WIDE = 256
 
@@ -29,7 +29,7 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     """The k-th 64-bit hash derived from h; the 0th is h."""
     if k == 0:
         return h
-    z = h + _GOLDEN * np.uint64(k)
+    z = h + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
     z = (z ^ (z >> np.uint64(30))) * _M1
     z = (z ^ (z >> np.uint64(27))) * _M2
     return z ^ (z >> np.uint64(31))
@@ -173,3 +173,138 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def text_key(text: Column) -> Column:
+    """What stands for a text: equal texts, equal keys. Null texts are empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def position_choices(n_bytes: int, size: int, n: int, seed: int = 5) -> list[tuple[int, ...]]:
+    """n different choices of `size` positional bytes that use every position about as often."""
+    rng, found = np.random.default_rng(seed), {}
+    while len(found) < n:
+        order = rng.permutation(n_bytes)
+        for i in range(0, n_bytes - size + 1, size):
+            found[tuple(sorted(order[i : i + size].tolist()))] = True
+    return list(found)[:n]
+
+
+def _candidates(prints: DataFrame, choices: list[tuple[int, ...]], near: int) -> DataFrame:
+    """(a, b), distinct: nodes that share all bytes of a choice; prints (node, words).
+
+    In a posting each node is held against those that lead a group there, by one word of the fingerprint (at most `near`
+    of 64 bits), and joins the first that is near or leads a group itself: one pair a row at most, however many copies.
+    """
+    rows_ddl, pair = "route bigint, node bigint, word bigint", arrow_schema("a bigint, b bigint")
+    schema = arrow_schema(rows_ddl)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = np.array(b.column(1).values.to_numpy()).reshape(b.num_rows, -1)
+            single = words.astype(">i8").view(np.uint8).reshape(b.num_rows, -1).astype(np.int64)
+            routes = []
+            for c, chosen in enumerate(choices):
+                k = np.full(b.num_rows, c, np.int64)
+                for p in chosen:
+                    k = k << 8 | single[:, p]
+                routes.append(k)
+            word = words[:, 0] ^ words[:, -1]
+            node = b.column(0).to_numpy()
+            for k in np.array_split(np.stack(routes), max(1, len(choices) * b.num_rows >> 18)):
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.tile(node, len(k))), pa.array(np.tile(word, len(k)))], schema=schema)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, leads, marks = None, [], np.zeros(0, np.uint64)  # of the posting that goes on from batch to batch
+        for b in batches:
+            route, node, word = (c.to_numpy() for c in b.columns)
+            word = word.view(np.uint64)
+            bounds = np.concatenate(([0], np.nonzero(route[1:] != route[:-1])[0] + 1, [len(route)]))
+            out_a, out_b = [], []
+            sizes = np.diff(bounds)
+            for i in np.nonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1))[0]:
+                a, z = bounds[i], bounds[i + 1]
+                if route[a] != last:
+                    leads, marks = [], np.zeros(0, np.uint64)
+                last = route[a]
+                at = a
+                while at < z:  # the rows near the first lead, then those near the next
+                    if not leads:
+                        leads, marks = [node[at]], word[at : at + 1]
+                        at += 1
+                        continue
+                    close = np.bitwise_count(word[at:z][:, None] ^ marks[None, :]) <= near
+                    any_close = close.any(1)
+                    stop = int(np.argmin(any_close)) if not any_close.all() else z - at
+                    first = close[:stop].argmax(1)
+                    out_a += [leads[f] for f in first]
+                    out_b += node[at : at + stop].tolist()
+                    at += stop
+                    if at < z:
+                        leads, marks = [*leads, node[at]], np.append(marks, word[at])
+                        at += 1
+            if out_a:
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], schema=pair)
+
+    rows = map_arrow(prints, index, rows_ddl)
+    pairs = map_arrow(rows.repartition("route").sortWithinPartitions("route", "node"), meet, "a bigint, b bigint")
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def shingle_set(text: str | None, size: int) -> set:
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, n_bytes: int = 32, key_bytes: int = 3, n_keys: int = 160, near: int = 22) -> DataFrame:
+    """(a, b): pairs of different texts of which at least `similarity` of the word shingles are shared (Jaccard); texts (node, text).
+
+    Texts this far apart differ in about one in seven fingerprint bits, so no count of shared bytes is sure; of the
+    positional bytes about a quarter are shared, and n_keys choices of key_bytes positions find a pair with the chance
+    that the README gives. Pairs found are checked by their whole fingerprints and then by their whole shingle sets.
+    """
+    rows = texts.withColumnRenamed("node", "doc_id")
+    prints = fingerprints(rows, "doc_id", "text", shingle, n_bytes).groupBy(F.col("doc_id").alias("node")).agg(F.first("words").alias("words"))
+    prints = cut(prints, "prints")
+    pairs = cut(_candidates(prints, position_choices(n_bytes, key_bytes, n_keys), near), "candidates")
+    away = sum((F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(n_bytes // 8)), F.lit(0))
+    both = pairs.join(prints.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a").join(prints.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
+    kept = cut(both.where(away <= n_bytes * 2).select("a", "b"), "near")
+    own = texts.join(kept.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").dropDuplicates(["node"])
+    met = kept.join(own.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    schema = arrow_schema("a bigint, b bigint")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good, before, held = [], None, set()
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if x != before:
+                    before, held = x, shingle_set(x, shingle)
+                other = shingle_set(y, shingle)
+                shared = len(held & other)
+                good.append(shared >= similarity * (len(held) + len(other) - shared))
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in range(2)], schema=schema)
+
+    found = cut(map_arrow(met.select("a", "b", "ta", "tb"), verify, "a bigint, b bigint"), "similar")
+    for t in (prints, pairs, kept):
+        drop_cut(t)
+    return found
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, **more) -> DataFrame:
+    """The rows of docs less near-duplicates: of each component of similar_texts(), the row of least id stays, once.
+
+    Texts without a word, nulls among them, are one group. Null ids come last. All columns pass.
+    """
+    text, doc_id = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    rows = docs.withColumns({"__node": text_key(text), "__last": doc_id.isNull(), "__id": doc_id})
+    found = similar_texts(docs.select(text_key(text).alias("node"), F.coalesce(text, F.lit("")).alias("text")), shingle, similarity, **more)
+    roots = components(found)
+    small = rows.groupBy("__node", "__last", "__id").agg(F.count("*").alias("__n")).join(roots, F.col("__node") == F.col("node"), "left")
+    small = small.withColumn("root", F.coalesce("root", "__node"))
+    best = small.groupBy("root").agg(F.min(F.struct("__last", "__id", "__node", "__n")).alias("best")).select("best.*")
+    best = cut(best.select(F.col("__node").alias("__its_node"), F.col("__id").alias("__its_id"), "__n"), "kept")
+    kept = rows.join(best, (F.col("__node") == F.col("__its_node")) & F.col("__id").eqNullSafe(F.col("__its_id")))
+    once = kept.where("__n = 1").union(kept.where("__n > 1").dropDuplicates(["__node", "__id"]))
+    return once.select(*(F.col(f"`{c}`") for c in docs.columns))

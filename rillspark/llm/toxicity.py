@@ -194,3 +194,9 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", name: str =
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, name])
 
     return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def without_toxic(docs: DataFrame, machine: Machine, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose score is below `least`, with the columns of docs."""
+    name = next(n for n in (f"__score{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    return score(docs, machine, text_col, name).where(F.col(name) < least).drop(name)
