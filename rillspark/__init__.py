@@ -1,0 +1,6 @@
+"""A PySpark-native engine for record flows."""
+
+from rillspark.flow import Flow, extend, flow, fn
+from rillspark.plans.pipeline import Pipeline, pipeline
+
+__all__ = ["Flow", "Pipeline", "extend", "flow", "fn", "pipeline"]
