@@ -70,7 +70,7 @@ def index_by(df: DataFrame, key: Column, strict: bool = True) -> DataFrame:
     rows = df.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.first(row).alias("value"), F.first(message).alias("message"))
     if not strict:
         return rows.where("n = 1").select("key", "value")
-    return rows.select("key", F.when(F.col("n") > 1, F.raise_error("message")).otherwise(F.col("value")).alias("value"))
+    return rows.select("key", F.when(F.col("n") > 1, F.raise_error(F.col("message"))).otherwise(F.col("value")).alias("value"))
 
 
 def repeated_keys(df: DataFrame, key: Column) -> DataFrame:
