@@ -1,6 +1,6 @@
 """A PySpark-native engine for record flows."""
 
-from rillspark.flow import Flow, extend, flow, fn
+from rillspark.flow import Flow, Writer, extend, flow, fn, is_flow, is_pipeline
 from rillspark.plans.pipeline import Pipeline, pipeline
 
-__all__ = ["Flow", "Pipeline", "extend", "flow", "fn", "pipeline"]
+__all__ = ["Flow", "Pipeline", "Writer", "extend", "flow", "fn", "is_flow", "is_pipeline", "pipeline"]

@@ -33,6 +33,34 @@ def flow(spark: SparkSession, xs: Any = (), schema: str | None = None, order: li
     return Flow(df, order)
 
 
+def is_flow(x: Any) -> bool:
+    return isinstance(x, Flow)
+
+
+def is_pipeline(x: Any) -> bool:
+    return isinstance(x, Pipeline)
+
+
+class Writer:
+    """A source that is pushed into: write() values, end(), and flow() gives what was written; writing after the end is refused."""
+
+    def __init__(self, spark: SparkSession, schema: str | None = None):
+        self._spark, self._schema, self._items, self._ended = spark, schema, [], False
+
+    def write(self, *items: Any) -> Writer:
+        if self._ended:
+            raise ValueError("write after end")
+        self._items += items
+        return self
+
+    def end(self) -> Flow:
+        self._ended = True
+        return self.flow()
+
+    def flow(self) -> Flow:
+        return flow(self._spark, list(self._items), self._schema)
+
+
 class Flow:
     """An immutable chain step: a DataFrame, and the columns that put its rows in order, unique together.
 
@@ -260,6 +288,8 @@ class Flow:
 
     def merge(self, *others: Flow, ordered: bool = False) -> Flow:
         """All rows of all flows; ordered=True puts this flow's rows first, then each other's, in their own orders."""
+        if not all(isinstance(o, Flow) for o in others):
+            raise TypeError("merge() takes flows")
         df = joins.merged([self.df, *(o.df for o in others)], ordered)
         return Flow(df, ["_branch", *self.order] if ordered else self.order)
 

@@ -6,7 +6,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from rillspark import Flow, extend, flow, fn, pipeline
+from rillspark import Flow, Writer, extend, flow, fn, is_flow, is_pipeline, pipeline
 from rillspark.functions import values
 from rillspark.operators import outcomes
 from rillspark.sources import END
@@ -46,6 +46,15 @@ def test_sources(spark, ints):
             flow(spark, bad)
 
 
+def test_writer(spark):
+    w = Writer(spark, "value long").write(1).write(2, 3)
+    assert vals(w.flow()) == [1, 2, 3] and vals(w.end()) == [1, 2, 3] and is_flow(w.flow()) and is_pipeline(pipeline().take(1))
+    with pytest.raises(ValueError, match="after end"):
+        w.write(4)
+    with pytest.raises(TypeError):
+        w.flow().merge([1])
+
+
 def test_generators_switch_and_recurse(spark):
     def fib(a, b):
         return lambda write, next: (write(a), next(fib(b, a + b)))
