@@ -105,13 +105,14 @@ def documents_of(rows: DataFrame) -> DataFrame:
     pieces = map_arrow(rows.select("doc_id", "shard", "doc_at", "piece", "n_tokens", "ids"), run, ddl)
     whole = pieces.groupBy("shard", "doc_at").agg(F.first("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("piece", "n_tokens", "crc"))).alias("parts"))
 
-    @F.udf("bigint")
-    def joined(parts: list) -> int:
+    def crc_of(parts):
         crc = parts[0]["crc"]
         for p in parts[1:]:
             crc = _joined_crc(crc, p["crc"], p["n_tokens"] * 4)
         return crc
 
+    joined = F.udf(crc_of, "bigint", useArrow=False)
+
     crc = F.when(F.size("parts") == 1, F.col("parts")[0]["crc"])
     single = whole.where(F.size("parts") == 1).select("shard", "doc_at", "doc_id", "n_tokens", crc.alias("ids_crc32"))
     several = whole.where(F.size("parts") > 1).select("shard", "doc_at", "doc_id", "n_tokens", joined("parts").alias("ids_crc32"))
