@@ -1,12 +1,13 @@
 """Media columns: payloads as ordered lists of content-defined chunks, each different chunk stored once.
 
 A rolling gear hash cuts a payload where its bytes say so, so equal passages give equal chunks wherever they stand. The
-store keeps one compressed row for each chunk digest; a recipe lists a payload's digests in order. Reading back joins
+store keeps one compressed row (bzip2, which suits short texts) for each chunk digest; a recipe lists a payload's digests in order. Reading back joins
 recipes to the store and takes a payload's chunks in order, one at a time.
 """
 
 from __future__ import annotations
 
+import bz2
 import functools
 import hashlib
 import itertools
@@ -16,7 +17,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +75,7 @@ class Stored:
     store: DataFrame
 
 
-def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutter: Cutter | None = None, level: int = 3) -> Stored:
+def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutter: Cutter | None = None) -> Stored:
     """Write both tables to the shared folder.
 
     Null texts are empty; an empty payload is 64 zero bytes. whole and part tell whether some payload is this chunk alone,
@@ -103,7 +103,6 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutte
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(out, list(listed)[1:]))], schema=listed)
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=level)
         for b in batches:
             made: dict[bytes, list] = {}
             for text in b.column(0).to_pylist():
@@ -111,7 +110,7 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutte
                 for c in parts:
                     digest = hashlib.sha256(c).digest()
                     if digest not in made:
-                        made[digest] = [digest, press.compress(c), False, False]
+                        made[digest] = [digest, bz2.compress(c), False, False]
                     made[digest][2 if len(parts) == 1 else 3] = True
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made.values()), chunked)], schema=chunked)
@@ -158,17 +157,16 @@ def features(stored: Stored) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdDecompressor()
         for b in batches:
             rows = []
             for digest, data in zip(*(c.to_pylist() for c in b.columns)):
                 one = _Reading()
-                one.add(data, press.decompress(data))
+                one.add(data, bz2.decompress(data))
                 rows.append(one.row(hashlib.sha256(digest).hexdigest()))
             yield from out(rows)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, recipe, now = zstandard.ZstdDecompressor(), None, None
+        recipe, now = None, None
         for b in itertools.chain(batches, [None]):
             rows = []
             for key, data in zip(*(c.to_pylist() for c in b.columns)) if b is not None else ():
@@ -176,7 +174,7 @@ def features(stored: Stored) -> DataFrame:
                     if now is not None:
                         rows.append(now.row(recipe))
                     recipe, now = key, _Reading()
-                now.add(data, press.decompress(data))
+                now.add(data, bz2.decompress(data))
             if b is None and now is not None:
                 rows.append(now.row(recipe))
             yield from out(rows)
@@ -207,14 +205,14 @@ def payloads(stored: Stored) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, now, doc, parts = zstandard.ZstdDecompressor(), None, None, []
+        now, doc, parts = None, None, []
         for row, doc_id, data in itertools.chain((x for b in batches for x in zip(*(c.to_pylist() for c in b.columns))), [(None, None, None)]):
             if row != now and now is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([doc], schema[0].type), pa.array([b"".join(parts)], pa.binary())], schema=schema)
                 parts = []
             now, doc = row, doc_id
             if row is not None:
-                parts.append(press.decompress(data))
+                parts.append(bz2.decompress(data))
 
     dealt = cut(listed, "listed").join(stored.store.select("digest", "data"), "digest")
     return map_arrow(dealt.repartition("row").sortWithinPartitions("row", "at").select("row", "doc_id", "data"), joined, ddl)
