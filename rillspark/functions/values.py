@@ -109,7 +109,8 @@ def truthy(column: Column, kind: T.DataType) -> Column:
 
 
 def escape_reg_exp(text: str) -> str:
-    return re.sub(r"[.*+?^${}()|\[\]\\/-]", lambda m: "\\" + m.group(), text)
+    """A pattern that matches the text literally, in Java's regular expressions too: they let any non-letter be escaped."""
+    return re.escape(text)
 
 
 def traverse(record: Any, path: str | list[str], default: Any = None) -> Any:
