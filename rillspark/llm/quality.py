@@ -18,7 +18,7 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = "\t\n\x0b\x0c\r "
 WINDOW = 8
 #: Bytes of texts worked on at once, and different words whose pieces a worker keeps.
-PART_BYTES, KEPT = 2 << 20, 300_000
+PART_BYTES, KEPT = 1 << 20, 200_000
 
 #: First code points of ranges of letters, in order, and the script of each; None: no letters of a script told apart here.
 SCRIPTS = (

@@ -26,7 +26,7 @@ STEMS = (4, 5)
 _EDGES = ".,;:!?\"'()[]{}<>|*_-«»“”„…¿¡"
 #: Bounds of what is fitted: labelled rows, selected terms, and the least evidence for a term (a likelihood ratio statistic).
 ROWS, TERMS, EVIDENCE = 20_000, 4096, 24.0
-_KEPT = 300_000
+_KEPT = 200_000
 
 
 def terms(word: str) -> list[int]:
