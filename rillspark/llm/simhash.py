@@ -21,6 +21,8 @@ from rillspark.llm.common import arrow_schema, cut, drop_cut, map_arrow, picked
 from rillspark.llm.graph import components
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Most nodes of a posting that are compared by distances between their rows.
+FEW = 16
 #: Fewest fingerprints of a posting that are compared by flipped bits instead of one another.
 WIDE = 256
 
@@ -193,8 +195,9 @@ def position_choices(n_bytes: int, size: int, n: int, seed: int = 5) -> list[tup
 def _candidates(prints: DataFrame, choices: list[tuple[int, ...]], near: int) -> DataFrame:
     """(a, b), distinct: nodes that share all bytes of a choice; prints (node, words).
 
-    In a posting each node is held against those that lead a group there, by one word of the fingerprint (at most `near`
-    of 64 bits), and joins the first that is near or leads a group itself: one pair a row at most, however many copies.
+    In a posting of at most FEW nodes each joins the first there that is near by one word of the fingerprint (at most
+    `near` of 64 bits). In a larger one each is held against those that lead a group there, and joins the first that is
+    near or leads a group itself: one pair a row at most, however many copies.
     """
     rows_ddl, pair = "route bigint, node bigint, word bigint", arrow_schema("a bigint, b bigint")
     schema = arrow_schema(rows_ddl)
@@ -220,9 +223,18 @@ def _candidates(prints: DataFrame, choices: list[tuple[int, ...]], near: int) ->
             route, node, word = (c.to_numpy() for c in b.columns)
             word = word.view(np.uint64)
             bounds = np.concatenate(([0], np.nonzero(route[1:] != route[:-1])[0] + 1, [len(route)]))
-            out_a, out_b = [], []
             sizes = np.diff(bounds)
-            for i in np.nonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1))[0]:
+            edge = (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1)
+            # postings of few nodes that lie in the batch, a distance between rows at a time: each joins the first that is near
+            few = np.repeat((sizes <= FEW) & ~edge, sizes)
+            for step in range(min(FEW, int(sizes.max())) - 1, 0, -1):
+                at = np.nonzero(few[step:] & (route[step:] == route[:-step]))[0]
+                at = at[np.bitwise_count(word[at] ^ word[at + step]) <= near]
+                few[at + step] = False
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[at + step])], schema=pair)
+            out_a, out_b = [], []
+            for i in np.nonzero((sizes > FEW) | edge)[0]:
                 a, z = bounds[i], bounds[i + 1]
                 if route[a] != last:
                     leads, marks = [], np.zeros(0, np.uint64)
@@ -256,12 +268,13 @@ def shingle_set(text: str | None, size: int) -> set:
     return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
 
 
-def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, n_bytes: int = 32, key_bytes: int = 3, n_keys: int = 160, near: int = 22) -> DataFrame:
+def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, n_bytes: int = 32, key_bytes: int = 2, n_keys: int = 128, near: int = 22) -> DataFrame:
     """(a, b): pairs of different texts of which at least `similarity` of the word shingles are shared (Jaccard); texts (node, text).
 
     Texts this far apart differ in about one in seven fingerprint bits, so no count of shared bytes is sure; of the
     positional bytes about a quarter are shared, and n_keys choices of key_bytes positions find a pair with the chance
-    that the README gives. Pairs found are checked by their whole fingerprints and then by their whole shingle sets.
+    that the README gives. Postings grow with the number of texts; from some tens of millions on, three key_bytes keep
+    them short, with more n_keys for the same chance. Pairs found are checked by their whole fingerprints and then by their whole shingle sets.
     """
     rows = texts.withColumnRenamed("node", "doc_id")
     prints = fingerprints(rows, "doc_id", "text", shingle, n_bytes).groupBy(F.col("doc_id").alias("node")).agg(F.first("words").alias("words"))
@@ -270,7 +283,7 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, n
     away = sum((F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(n_bytes // 8)), F.lit(0))
     both = pairs.join(prints.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a").join(prints.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
     kept = cut(both.where(away <= n_bytes * 2).select("a", "b"), "near")
-    own = texts.join(kept.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").dropDuplicates(["node"])
+    own = texts.join(kept.select(F.col("a").alias("node")).union(kept.select("b")).distinct(), "node").dropDuplicates(["node"])
     met = kept.join(own.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     schema = arrow_schema("a bigint, b bigint")
 
