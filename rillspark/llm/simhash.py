@@ -60,16 +60,17 @@ def simhash(hashes: np.ndarray, n_bytes: int) -> bytes:
     return np.packbits(counts * 2 > len(hashes)).tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, n_bytes: int = 8, seed: int = 42) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, n_bytes: int = 8, seed: int = 42, once: bool = False) -> DataFrame:
     """(doc_id, words): a fingerprint of n_bytes (a multiple of 8) as an array of big-endian signed 64-bit words for each row.
 
-    Null and empty texts get fingerprint zero. Repeated rows and null ids keep a row each; other columns are left out.
+    With `once`, each different shingle of a text counts once, as in a set, however often it is repeated. Null and empty texts get fingerprint zero. Repeated rows and null ids keep a row each; other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.int64())
         for b in batches:
-            made = [np.frombuffer(simhash(shingle_hashes(x, shingle, seed), n_bytes), ">i8").astype(np.int64) for x in b.column(1).to_pylist()]
+            hashed = (shingle_hashes(x, shingle, seed) for x in b.column(1).to_pylist())
+            made = [np.frombuffer(simhash(np.unique(h) if once else h, n_bytes), ">i8").astype(np.int64) for h in hashed]
             flat = np.concatenate(made) if made else np.zeros(0, np.int64)
             words = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, n_bytes // 8), pa.int32()), pa.array(flat)).cast(kind)
             yield pa.RecordBatch.from_arrays([b.column(0), words], names=["doc_id", "words"])
@@ -277,7 +278,7 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, n
     them short, with more n_keys for the same chance. Pairs found are checked by their whole fingerprints and then by their whole shingle sets.
     """
     rows = texts.withColumnRenamed("node", "doc_id")
-    prints = fingerprints(rows, "doc_id", "text", shingle, n_bytes).groupBy(F.col("doc_id").alias("node")).agg(F.first("words").alias("words"))
+    prints = fingerprints(rows, "doc_id", "text", shingle, n_bytes, once=True).groupBy(F.col("doc_id").alias("node")).agg(F.first("words").alias("words"))
     prints = cut(prints, "prints")
     pairs = cut(_candidates(prints, position_choices(n_bytes, key_bytes, n_keys), near), "candidates")
     away = sum((F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(n_bytes // 8)), F.lit(0))

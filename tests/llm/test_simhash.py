@@ -77,3 +77,15 @@ def test_links_of_crowded_prints(spark, monkeypatch, wide):
         got = simhash._roots(own, 2, np.arange(16))
         monkeypatch.setattr(simhash, "WIDE", 1 << 30)
         assert (got == simhash._roots(own, 2, np.arange(16))).all()
+
+
+def test_repeats_of_a_line_do_not_hide_a_similar_text(spark):
+    """Texts of equal shingle sets, but for the join, whose line is repeated once and 20 times."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    rows = []
+    for i in range(12):
+        base, line = [word() for _ in range(200)], [word() for _ in range(8)]
+        rows += [(2 * i, " ".join(base + line)), (2 * i + 1, " ".join(base + line * 20))]
+    left = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in left.collect()) == [2 * i for i in range(12)]
