@@ -25,6 +25,8 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 FEW = 16
 #: Fewest fingerprints of a posting that are compared by flipped bits instead of one another.
 WIDE = 256
+#: Most distances held at once between the rows of a large posting.
+CELLS = 1 << 20
 
 
 def mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -193,75 +195,137 @@ def position_choices(n_bytes: int, size: int, n: int, seed: int = 5) -> list[tup
     return list(found)[:n]
 
 
-def _candidates(prints: DataFrame, choices: list[tuple[int, ...]], near: int) -> DataFrame:
-    """(a, b), distinct: nodes that share all bytes of a choice; prints (node, words).
-
-    In a posting of at most FEW nodes each joins the first there that is near by one word of the fingerprint (at most
-    `near` of 64 bits). In a larger one each is held against those that lead a group there, and joins the first that is
-    near or leads a group itself: one pair a row at most, however many copies.
+def _apart(words: list[np.ndarray], i, j) -> np.ndarray:
+    """Bits in which rows i and j of these fingerprint words differ."""
+    return sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words)
+
+
+def _led(words: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the rows of a large posting: the first lead that each is near, or itself; whether a row that leads none is near one that is led."""
+    n = len(words[0])
+    lead, todo = np.arange(n), np.arange(n)
+    while len(todo):
+        close = _apart(words, todo[:1], todo) <= most
+        lead[todo[close]] = todo[0]
+        todo = todo[~close]
+    led = np.nonzero(lead != np.arange(n))[0]
+    alone = np.setdiff1d(np.nonzero(lead == np.arange(n))[0], lead[led])
+    near = np.zeros(n, bool)
+    for at in range(0, len(alone) if len(led) else 0, max(1, CELLS // len(led)) if len(led) else 1):
+        part = alone[at : at + max(1, CELLS // len(led))]
+        near[part] = (_apart(words, part[:, None], led[None, :]) <= most).any(1)
+    return lead, near
+
+
+def _across(words: list[np.ndarray], root: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of near rows of different roots, for rows in order of root."""
+    n, i = len(root), 0
+    ends = np.searchsorted(root, root, side="right")
+    while i < n:
+        j = min(n, i + max(1, CELLS // n))
+        start = ends[i] if root[i] == root[j - 1] else i
+        a, b = np.nonzero((_apart(words, np.arange(i, j)[:, None], np.arange(start, n)[None, :]) <= most) & (root[i:j, None] < root[None, start:]))
+        yield a + i, b + start
+        i = j
+
+
+def _candidates(prints: DataFrame, choices: list[tuple[int, ...]], n_bytes: int, most: int) -> DataFrame:
+    """(a, b), distinct: nodes that share all bytes of a choice and differ in at most `most` bits; prints (node, words) or (node, words, root).
+
+    Without roots each row of a posting joins one that is near, the first of the posting or one that leads there: one pair
+    a row at most, however many copies. A row that is near others but in none of these pairs comes as a pair with itself, so
+    that the nodes of the result are all that are near any. With roots, the result is every near pair of different roots;
+    a pair comes from the first choice whose bytes it shares only.
     """
-    rows_ddl, pair = "route bigint, node bigint, word bigint", arrow_schema("a bigint, b bigint")
-    schema = arrow_schema(rows_ddl)
+    rooted, n_words = "root" in prints.columns, n_bytes // 8
+    names = [f"w{i}" for i in range(n_words)]
+    rows_ddl, pair = "route bigint, node bigint, root bigint, " + ", ".join(f"{w} bigint" for w in names), arrow_schema("a bigint, b bigint")
+    schema, chosen_bytes = arrow_schema(rows_ddl), np.array(choices)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = np.array(b.column(1).values.to_numpy()).reshape(b.num_rows, -1)
+            words = np.stack([b.column(2 + i).to_numpy() for i in range(n_words)], 1)
             single = words.astype(">i8").view(np.uint8).reshape(b.num_rows, -1).astype(np.int64)
-            routes = []
-            for c, chosen in enumerate(choices):
-                k = np.full(b.num_rows, c, np.int64)
-                for p in chosen:
-                    k = k << 8 | single[:, p]
-                routes.append(k)
-            word = words[:, 0] ^ words[:, -1]
-            node = b.column(0).to_numpy()
-            for k in np.array_split(np.stack(routes), max(1, len(choices) * b.num_rows >> 18)):
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.tile(node, len(k))), pa.array(np.tile(word, len(k)))], schema=schema)
+            for part in np.array_split(np.arange(len(choices)), max(1, len(choices) * b.num_rows >> 18)):
+                routes = []
+                for c in part:
+                    k = np.full(b.num_rows, c, np.int64)
+                    for p in choices[c]:
+                        k = k << 8 | single[:, p]
+                    routes.append(k)
+                cols = [np.concatenate(routes)] + [np.tile(b.column(i).to_numpy(), len(part)) for i in range(2 + n_words)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
+
+    def first_shared(words: list[np.ndarray], i: np.ndarray, j: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Which of these pairs share the bytes of no choice before c."""
+        good = np.zeros(len(i), bool)
+        for at in range(0, len(i), 1 << 14):
+            p, q = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            same = np.stack([w[p] ^ w[q] for w in words], 1).astype(">u8").view(np.uint8).reshape(len(p), -1) == 0
+            good[at : at + (1 << 14)] = same[:, chosen_bytes].all(2).argmax(1) == c[at : at + (1 << 14)]
+        return good
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leads, marks = None, [], np.zeros(0, np.uint64)  # of the posting that goes on from batch to batch
-        for b in batches:
-            route, node, word = (c.to_numpy() for c in b.columns)
-            word = word.view(np.uint64)
-            bounds = np.concatenate(([0], np.nonzero(route[1:] != route[:-1])[0] + 1, [len(route)]))
-            sizes = np.diff(bounds)
-            edge = (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1)
-            # postings of few nodes that lie in the batch, a distance between rows at a time: each joins the first that is near
-            few = np.repeat((sizes <= FEW) & ~edge, sizes)
+        held: list[list[np.ndarray]] = []  # the posting that goes on from batch to batch
+        shift = 8 * len(choices[0])
+
+        def met(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            route, node, root = cols[:3]
+            words = [c.view(np.uint64) for c in cols[3:]]
+            starts = np.concatenate(([0], np.nonzero(route[1:] != route[:-1])[0] + 1))
+            sizes = np.diff(np.append(starts, len(route)))
+            few = np.repeat(sizes <= FEW, sizes)
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            near, led = np.zeros(len(route), bool), np.zeros(len(route), bool)
+            # postings of few nodes, a distance between rows at a time
             for step in range(min(FEW, int(sizes.max())) - 1, 0, -1):
                 at = np.nonzero(few[step:] & (route[step:] == route[:-step]))[0]
-                at = at[np.bitwise_count(word[at] ^ word[at + step]) <= near]
-                few[at + step] = False
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[at + step])], schema=pair)
-            out_a, out_b = [], []
-            for i in np.nonzero((sizes > FEW) | edge)[0]:
-                a, z = bounds[i], bounds[i + 1]
-                if route[a] != last:
-                    leads, marks = [], np.zeros(0, np.uint64)
-                last = route[a]
-                at = a
-                while at < z:  # the rows near the first lead, then those near the next
-                    if not leads:
-                        leads, marks = [node[at]], word[at : at + 1]
-                        at += 1
-                        continue
-                    close = np.bitwise_count(word[at:z][:, None] ^ marks[None, :]) <= near
-                    any_close = close.any(1)
-                    stop = int(np.argmin(any_close)) if not any_close.all() else z - at
-                    first = close[:stop].argmax(1)
-                    out_a += [leads[f] for f in first]
-                    out_b += node[at : at + stop].tolist()
-                    at += stop
-                    if at < z:
-                        leads, marks = [*leads, node[at]], np.append(marks, word[at])
-                        at += 1
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], schema=pair)
-
-    rows = map_arrow(prints, index, rows_ddl)
-    pairs = map_arrow(rows.repartition("route").sortWithinPartitions("route", "node"), meet, "a bigint, b bigint")
-    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                at = at[_apart(words, at, at + step) <= most]
+                if rooted:
+                    at = at[root[at] != root[at + step]]
+                else:
+                    near[at] = near[at + step] = True
+                    at = at[~led[at + step]]
+                    led[at + step] = True
+                found.append((at, at + step))
+            for g in np.nonzero(sizes > FEW)[0]:
+                a, z = starts[g], starts[g] + sizes[g]
+                own = [w[a:z] for w in words]
+                if rooted:
+                    found += [(x + a, y + a) for x, y in _across(own, root[a:z], most) if len(x)]
+                else:
+                    lead, loose = _led(own, most)
+                    y = np.nonzero(lead != np.arange(z - a))[0]
+                    near[a:z] |= loose
+                    found.append((lead[y] + a, y + a))
+            x, y = (np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+            if rooted:
+                good = first_shared(words, x, y, route[x] >> shift)
+                x, y = x[good], y[good]
+            else:
+                near[x] = near[y] = False
+                loops = np.nonzero(near)[0]
+                x, y = np.concatenate((x, loops)), np.concatenate((y, loops))
+            for at in range(0, len(x), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(node[v[at : at + (1 << 17)]]) for v in (x, y)], schema=pair)
+
+        for b in batches:
+            cols = [c.to_numpy() for c in b.columns]
+            if not b.num_rows:
+                continue
+            new = np.nonzero(cols[0] != cols[0][-1])[0]
+            done = int(new[-1]) + 1 if len(new) else 0
+            if done or held and held[0][0][0] != cols[0][0]:
+                yield from met([np.concatenate(c) for c in zip(*held, [c[:done] for c in cols])])
+                held = []
+            held.append([c[done:].copy() for c in cols])
+        if held:
+            yield from met([np.concatenate(c) for c in zip(*held)])
+
+    root = "root" if rooted else F.lit(0).cast("bigint").alias("root")
+    rows = map_arrow(prints.select("node", root, *(F.col("words")[i].alias(w) for i, w in enumerate(names))), index, rows_ddl)
+    pairs = map_arrow(rows.repartition("route").sortWithinPartitions("route", "root", "node"), meet, "a bigint, b bigint")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def shingle_set(text: str | None, size: int) -> set:
@@ -269,23 +333,21 @@ def shingle_set(text: str | None, size: int) -> set:
     return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
 
 
-def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, n_bytes: int = 32, key_bytes: int = 2, n_keys: int = 128, near: int = 22) -> DataFrame:
+def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, n_bytes: int = 32, key_bytes: int = 2, n_keys: int = 128) -> DataFrame:
     """(a, b): pairs of different texts of which at least `similarity` of the word shingles are shared (Jaccard); texts (node, text).
 
-    Texts this far apart differ in about one in seven fingerprint bits, so no count of shared bytes is sure; of the
-    positional bytes about a quarter are shared, and n_keys choices of key_bytes positions find a pair with the chance
-    that the README gives. Postings grow with the number of texts; from some tens of millions on, three key_bytes keep
-    them short, with more n_keys for the same chance. Pairs found are checked by their whole fingerprints and then by their whole shingle sets.
+    The pairs connect all texts that the pairs found connect; pairs within a group are left out. Texts this far apart
+    differ in about one in seven fingerprint bits, so no count of shared bytes is sure; of the positional bytes about a
+    quarter are shared, and n_keys choices of key_bytes positions find a pair with the chance that the README gives.
+    Postings grow with the number of texts. Fingerprints that differ in at most a quarter of their bits are candidates,
+    checked by their whole shingle sets: first one for each row of a posting, then all between the groups that those left.
     """
     rows = texts.withColumnRenamed("node", "doc_id")
     prints = fingerprints(rows, "doc_id", "text", shingle, n_bytes, once=True).groupBy(F.col("doc_id").alias("node")).agg(F.first("words").alias("words"))
     prints = cut(prints, "prints")
-    pairs = cut(_candidates(prints, position_choices(n_bytes, key_bytes, n_keys), near), "candidates")
-    away = sum((F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(n_bytes // 8)), F.lit(0))
-    both = pairs.join(prints.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a").join(prints.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
-    kept = cut(both.where(away <= n_bytes * 2).select("a", "b"), "near")
-    own = texts.join(kept.select(F.col("a").alias("node")).union(kept.select("b")).distinct(), "node").dropDuplicates(["node"])
-    met = kept.join(own.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    choices = position_choices(n_bytes, key_bytes, n_keys)
+    pairs = cut(_candidates(prints, choices, n_bytes, n_bytes * 2), "candidates")
+    near = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(texts, "node").dropDuplicates(["node"]), "near-texts")
     schema = arrow_schema("a bigint, b bigint")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,8 +362,15 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, n
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in range(2)], schema=schema)
 
-    found = cut(map_arrow(met.select("a", "b", "ta", "tb"), verify, "a bigint, b bigint"), "similar")
-    for t in (prints, pairs, kept):
+    def verified(some: DataFrame) -> DataFrame:
+        met = some.join(near.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(near.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        return map_arrow(met.select("a", "b", "ta", "tb"), verify, "a bigint, b bigint")
+
+    first = cut(verified(pairs.where("a <> b")), "similar")
+    left = prints.join(near.select("node"), "node").join(components(first), "node", "left").select("node", "words", F.coalesce("root", "node").alias("root"))
+    rest = cut(_candidates(left, choices, n_bytes, n_bytes * 2).join(pairs, ["a", "b"], "left_anti"), "rest")
+    found = cut(first.union(verified(rest)), "similar")
+    for t in (prints, pairs, near, first, rest):
         drop_cut(t)
     return found
 

@@ -89,3 +89,38 @@ def test_repeats_of_a_line_do_not_hide_a_similar_text(spark):
         rows += [(2 * i, " ".join(base + line)), (2 * i + 1, " ".join(base + line * 20))]
     left = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in left.collect()) == [2 * i for i in range(12)]
+
+
+def star(n=300, n_words=200, edits=4, seed=6):
+    """A text and n edited copies of it, each similar to it, few to each other."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    base = [word() for _ in range(n_words)]
+    texts = [" ".join(base)]
+    while len(texts) <= n:
+        copy = list(base)
+        for i in rng.sample(range(n_words), edits):
+            copy[i] = word()
+        a, b = simhash.shingle_set(texts[0], 5), simhash.shingle_set(" ".join(copy), 5)
+        if len(a & b) >= 0.8 * len(a | b):
+            texts.append(" ".join(copy))
+    return texts
+
+
+def test_a_star_of_edited_copies_is_one_group(spark):
+    """As brute force over all pairs that share a key joins them; that leaves out few."""
+    texts = star()
+    left = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5))
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    single = np.stack([np.frombuffer(simhash.simhash(np.unique(simhash.shingle_hashes(t, 5, 42)), 32), np.uint8) for t in texts])
+    choices, root = np.array(simhash.position_choices(32, 2, 128)), np.arange(len(texts))
+    edges = []
+    for i in range(len(texts)):
+        keyed = (single == single[i])[:, choices].all(2).any(1)
+        edges += [(i, j) for j in np.nonzero(keyed)[0].tolist() if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in range(len(texts)):
+        for i, j in edges:
+            root[i] = root[j] = min(root[i], root[j])
+    want = np.unique(root).tolist()
+    assert len(want) <= 9
+    assert sorted(r.doc_id for r in left.collect()) == want
