@@ -124,3 +124,12 @@ def test_a_star_of_edited_copies_is_one_group(spark):
     want = np.unique(root).tolist()
     assert len(want) <= 9
     assert sorted(r.doc_id for r in left.collect()) == want
+
+
+def test_no_single_word_gates_candidates(spark):
+    """Fingerprints at most 64 of 256 bits apart, of which 30 lie in the first word."""
+    a = np.random.default_rng(4).integers(-(1 << 62), 1 << 62, 4)
+    b = a.copy()
+    b[0] ^= (1 << 30) - 1
+    prints = spark.createDataFrame([(1, a.tolist()), (2, b.tolist())], "node long, words array<long>")
+    assert [tuple(r) for r in simhash._candidates(prints, simhash.position_choices(32, 2, 128), 32, 64).collect()] == [(1, 2)]
