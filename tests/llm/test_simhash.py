@@ -91,6 +91,15 @@ def test_repeats_of_a_line_do_not_hide_a_similar_text(spark):
     assert sorted(r.doc_id for r in left.collect()) == [2 * i for i in range(12)]
 
 
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
 def star(n=300, n_words=200, edits=4, seed=6):
     """A text and n edited copies of it, each similar to it, few to each other."""
     rng = random.Random(seed)
@@ -101,35 +110,90 @@ def star(n=300, n_words=200, edits=4, seed=6):
         copy = list(base)
         for i in rng.sample(range(n_words), edits):
             copy[i] = word()
-        a, b = simhash.shingle_set(texts[0], 5), simhash.shingle_set(" ".join(copy), 5)
-        if len(a & b) >= 0.8 * len(a | b):
+        if jaccard(shingle_set(texts[0]), shingle_set(" ".join(copy))) >= 0.8:
             texts.append(" ".join(copy))
     return texts
 
 
-def test_a_star_of_edited_copies_is_one_group(spark):
-    """As brute force over all pairs that share a key joins them; that leaves out few."""
-    texts = star()
-    left = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5))
-    sets = [simhash.shingle_set(t, 5) for t in texts]
-    single = np.stack([np.frombuffer(simhash.simhash(np.unique(simhash.shingle_hashes(t, 5, 42)), 32), np.uint8) for t in texts])
-    choices, root = np.array(simhash.position_choices(32, 2, 128)), np.arange(len(texts))
-    edges = []
-    for i in range(len(texts)):
-        keyed = (single == single[i])[:, choices].all(2).any(1)
-        edges += [(i, j) for j in np.nonzero(keyed)[0].tolist() if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+def groups_of(texts):
+    """The least number of each text's group, by brute force over all pairs."""
+    sets, root = [shingle_set(t) for t in texts], np.arange(len(texts))
+    edges = [(i, j) for j in range(len(texts)) for i in range(j) if jaccard(sets[i], sets[j]) >= 0.8]
     for _ in range(len(texts)):
         for i, j in edges:
             root[i] = root[j] = min(root[i], root[j])
-    want = np.unique(root).tolist()
-    assert len(want) <= 9
-    assert sorted(r.doc_id for r in left.collect()) == want
-
-
-def test_no_single_word_gates_candidates(spark):
-    """Fingerprints at most 64 of 256 bits apart, of which 30 lie in the first word."""
-    a = np.random.default_rng(4).integers(-(1 << 62), 1 << 62, 4)
-    b = a.copy()
-    b[0] ^= (1 << 30) - 1
-    prints = spark.createDataFrame([(1, a.tolist()), (2, b.tolist())], "node long, words array<long>")
-    assert [tuple(r) for r in simhash._candidates(prints, simhash.position_choices(32, 2, 128), 32, 64).collect()] == [(1, 2)]
+    return root
+
+
+def test_a_star_of_edited_copies_is_one_group(spark):
+    texts = star()
+    left = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5))
+    assert sorted(r.doc_id for r in left.collect()) == np.unique(groups_of(texts)).tolist() == [0]
+
+
+def test_whole_table_against_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    left = simhash.one_of_each(spark.read.parquet(f"{SF}/documents.parquet"))
+    want = groups_of([r.text for r in rows])
+    assert sorted(r.doc_id for r in left.collect()) == [rows[i].doc_id for i in np.unique(want).tolist()]
+
+
+def edited(seed, n, share):
+    """n texts of 40 to 300 words, and for each one with some words changed, as near as `share` of shingles or a little nearer."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    out = []
+    for _ in range(n):
+        a = [word() for _ in range(rng.randint(60, 300))]
+        b, own, before = list(a), shingle_set(" ".join(a)), None
+        while jaccard(own, shingle_set(" ".join(b))) >= share:
+            before = list(b)
+            b[rng.randrange(len(b))] = word()
+        out.append((" ".join(a), " ".join(before)))
+    return out
+
+
+@pytest.mark.parametrize(("key_bytes", "posting"), [(5, 1), (2, 1), (1, 10), (1, 80)])
+def test_recall_at_growing_postings(spark, key_bytes, posting):
+    """Pairs at a similarity of 0.8 are candidates however many unrelated texts share their postings, and nothing unrelated is."""
+    pairs = edited(7, 150, 0.8)
+    rng = np.random.default_rng(3)
+    prints = simhash.samples([t for p in pairs for t in p], 64, 5)
+    noise = rng.integers(0, 256, (posting * 256 if key_bytes == 1 else 256, 64), np.uint8)
+    rows = [(i.to_bytes(16, "big"), p.tobytes()) for i, p in enumerate(np.concatenate((prints, noise)))]
+    found = simhash._candidates(spark.createDataFrame(rows, "node binary, print binary"), simhash.position_choices(64, key_bytes, 20 if key_bytes > 1 else 12), 64, 38)
+    got = {tuple(sorted(int.from_bytes(x, "big") for x in r[:2])) for r in found.select("a", "b").collect()}
+    true = {(2 * i, 2 * i + 1) for i in range(150)}
+    assert len(got & true) >= 147 and not any(a < 300 <= b or a >= 300 for a, b in got)
+
+
+def test_samples_share_bytes_by_similarity():
+    for share in (0.8, 0.9):
+        pairs = edited(11, 60, share)
+        a, b = simhash.samples([p[0] for p in pairs], 64, 5), simhash.samples([p[1] for p in pairs], 64, 5)
+        real = np.mean([jaccard(shingle_set(x), shingle_set(y)) for x, y in pairs])
+        assert abs((a == b).mean() - (real + (1 - real) / 256)) < 0.02
+    texts = ["", " \t", "one two", "One  TWO", "one two three four five six"]
+    s = simhash.samples(texts, 64, 5)
+    assert not s[:2].any() and (s[2] == s[3]).all() and (simhash.samples(texts[::-1], 64, 5)[::-1] == s).all()
+
+
+def test_awkward_texts_keep_one_of_each(spark):
+    df = awkward(spark)
+    left = simhash.one_of_each(df)
+    assert left.columns == df.columns
+    assert sorted((r.doc_id for r in left.collect()), key=str) == [1, 2, 5, 7, None]
+    assert simhash.one_of_each(empty(spark)).count() == 0
+
+
+def test_components_of_any_node_type(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)] + [(500, i) for i in range(501, 700)]
+    root = list(range(700))
+    for _ in range(400):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {i: root[i] for e in edges if e[0] != e[1] for i in e}
+    assert {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+    as_bytes = spark.createDataFrame([(a.to_bytes(16, "big"), b.to_bytes(16, "big")) for a, b in edges], "a binary, b binary")
+    assert {int.from_bytes(r.node, "big"): int.from_bytes(r.root, "big") for r in components(as_bytes).collect()} == want
