@@ -19,12 +19,13 @@ PIECE_IDS = 1 << 16
 STRIPE_BYTES, INDEX_ROWS, WRITE_ROWS, READ_ROWS = 16 << 20, 1000, 128, 256
 
 
-def write_ids(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 2, piece_ids: int = PIECE_IDS) -> None:
+def write_ids(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 2, piece_ids: int = PIECE_IDS, specials: bool = True) -> None:
     """Encode every text, append end_id, and write the ids as ORC files to folder `to`, in ascending order of document id.
 
     Rows: doc_id, shard, doc_at, piece, pieces, n_tokens (of the piece), ids. shard numbers the files in id order; doc_at
     is the count of ids in the shard before the document. Texts are dealt by range of (id, hash of the text), so equal ids
     spread as well; null ids come first; null and empty texts have end_id alone; equal ids go by text hash, then text.
+    Strings of special tokens become their ids, as in the library's plain call; specials=False takes them as text.
     """
     path = path or vocabulary()
     rows = picked(docs, doc_id=id_col, text=text_col).withColumn("h", F.xxhash64("text"))
@@ -32,7 +33,7 @@ def write_ids(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str =
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, shard, at = encoder(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
+        encode, end, shard, at = encoder(path, specials), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]
             data = []
@@ -105,18 +106,21 @@ def documents_of(rows: DataFrame) -> DataFrame:
     pieces = map_arrow(rows.select("doc_id", "shard", "doc_at", "piece", "n_tokens", "ids"), run, ddl)
     whole = pieces.groupBy("shard", "doc_at").agg(F.first("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("piece", "n_tokens", "crc"))).alias("parts"))
 
-    def crc_of(parts):
-        crc = parts[0]["crc"]
-        for p in parts[1:]:
-            crc = _joined_crc(crc, p["crc"], p["n_tokens"] * 4)
-        return crc
+    final = f"shard int, doc_at bigint, doc_id {kind}, n_tokens bigint, ids_crc32 bigint"
+    final_schema = arrow_schema(final)
 
-    joined = F.udf(crc_of, "bigint", useArrow=False)
-
-    crc = F.when(F.size("parts") == 1, F.col("parts")[0]["crc"])
-    single = whole.where(F.size("parts") == 1).select("shard", "doc_at", "doc_id", "n_tokens", crc.alias("ids_crc32"))
-    several = whole.where(F.size("parts") > 1).select("shard", "doc_at", "doc_id", "n_tokens", joined("parts").alias("ids_crc32"))
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            crcs = []
+            for parts in b.column(4).to_pylist():
+                crc = parts[0]["crc"]
+                for p in parts[1:]:
+                    crc = _joined_crc(crc, p["crc"], p["n_tokens"] * 4)
+                crcs.append(crc)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(crcs, pa.int64())], schema=final_schema)
+
+    joined = map_arrow(whole.select("shard", "doc_at", "doc_id", "n_tokens", "parts"), join, final)
     each = rows.select("shard", "n_tokens").groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = each.select("shard", before.alias("shard_at"))
-    return single.union(several).join(offsets, "shard").select("doc_id", (F.col("doc_at") + F.col("shard_at")).alias("start"), "n_tokens", "ids_crc32")
+    return joined.join(offsets, "shard").select("doc_id", (F.col("doc_at") + F.col("shard_at")).alias("start"), "n_tokens", "ids_crc32")

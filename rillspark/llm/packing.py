@@ -108,13 +108,14 @@ class Packer:
             total -= size
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 0, tiers: tuple[int, ...] = (128, 256, 512, 1024), step_tokens: int = STEP_TOKENS, held_tokens: int = HELD_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 0, tiers: tuple[int, ...] = (128, 256, 512, 1024), step_tokens: int = STEP_TOKENS, held_tokens: int = HELD_TOKENS, specials: bool = True) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group, ids.
 
     tiers are powers of two. Each input partition packs its own documents, without a shuffle, holding about held_tokens
     tokens at a time; every sequence is full, its length being its tier (the last few of a partition: a power of two).
     sequence_id is the partition's number times 2**40 plus a count; step_group numbers groups of step_tokens tokens of one
     tier in the same way, so a step never mixes lengths and steps weigh the same. Null and empty texts have end_id alone.
+    Strings of special tokens become their ids, as in the library's plain call; specials=False takes them as text.
     Repeated rows and null ids are documents of their own. Pieces of one row carry its row number (doc_row) in the partition.
     """
     path = path or vocabulary()
@@ -126,7 +127,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         raise ValueError("tiers must be powers of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path, specials), np.array([end_id], "<u4").tobytes()
         base = TaskContext.get().partitionId() << 40
         packer, held, n_held, row, sequence = Packer(tiers), {}, 0, 0, 0
         steps: dict[int, list[int]] = {}  # by tier: its step group, and the tokens there

@@ -4,7 +4,8 @@ The split that precedes this BPE puts a boundary before every space that a non-s
 feed between non-spaces. So a text's ids are the ids of its words (with their space) in order, and the library encodes
 each different word of a batch once at most, all of them in few calls. Whitespace runs follow the same split: all but the
 last character are one piece, the last goes with the next word if it is a space and else stands alone; a run that ends
-the text is one piece.
+the text is one piece. Strings of added tokens, such as <|endoftext|>, are cut out first and become their own ids, as in the
+library's plain call, unless an Encoder is told to take them as ordinary text.
 """
 
 from __future__ import annotations
@@ -72,11 +73,16 @@ class _Words(dict):
 class Encoder:
     """Ids of texts as bytes of little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not specials
+        added = {t.content: (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if specials or not t.special}
+        if any(t.lstrip or t.rstrip or t.single_word for _, t in added.values()):
+            raise ValueError("an added token that takes white space or word edges is not supported")
+        self.added = {s: np.array([i], "<u4").tobytes() for s, (i, _) in added.items()}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
         size = self.tokenizer.get_vocab_size()
         self.lengths = np.array([len(self.tokenizer.id_to_token(i)) for i in range(size)])  # a letter for each byte
         self.feed = self.piece("\n")
@@ -111,23 +117,33 @@ class Encoder:
                 out.append(self.piece(run[-1]))
             (self.body if run[-1] == " " else self.head).look([word], out)
 
+    def _text(self, text: str | None, out: list) -> None:
+        if not text:
+            return
+        if not _plain(text):
+            self._runs(text, out)
+            return
+        first = True
+        for line in text.split("\n"):
+            if not first:
+                out.append(self.feed)
+            first = False
+            words = line.split(" ")
+            self.head.look(words[:1], out)
+            if len(words) > 1:
+                self.body.look(words[1:], out)
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        head, body, feed, out, ends = self.head.look, self.body.look, self.feed, [], [0]
+        out, ends = [], [0]
         for text in texts:
-            if not text:
-                pass
-            elif _plain(text):
-                first = True
-                for line in text.split("\n"):
-                    if not first:
-                        out.append(feed)
-                    first = False
-                    words = line.split(" ")
-                    head(words[:1], out)
-                    if len(words) > 1:
-                        body(words[1:], out)
+            if text and any(s in text for s in self.added):
+                for part in self.at_added.split(text):
+                    if part in self.added:
+                        out.append(self.added[part])
+                    else:
+                        self._text(part, out)
             else:
-                self._runs(text, out)
+                self._text(text, out)
             ends.append(len(out))
         self.head.settle(out)
         self.body.settle(out)
@@ -135,9 +151,9 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, specials: bool = True) -> Encoder:
     """One for each Python worker; workers serve many tasks."""
-    return Encoder(path)
+    return Encoder(path, specials)
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:

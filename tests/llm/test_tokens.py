@@ -7,13 +7,17 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from tests.llm.helpers import SF, awkward, empty
+from tokenizers import Tokenizer
 
 from rillspark.llm import contracts, orcids, packing
-from rillspark.llm.vocab import encoder, vocabulary
+from rillspark.llm.vocab import Encoder, encoder, vocabulary
+
+PLAIN = Tokenizer.from_file(vocabulary())
 
 
 def whole(text):
-    return encoder(vocabulary()).tokenizer.encode(text or "", add_special_tokens=False).ids
+    """The library's plain call, by a tokenizer of its own."""
+    return PLAIN.encode(text or "", add_special_tokens=False).ids
 
 
 def crc(ids):
@@ -27,6 +31,14 @@ def test_word_cache_gives_the_ids_of_whole_texts():
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder(vocabulary())(texts)] == [whole(t) for t in texts]
 
 
+def test_special_strings_as_text():
+    plain = Tokenizer.from_file(vocabulary())
+    plain.encode_special_tokens = True
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in Encoder(vocabulary(), specials=False)(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts] and whole(texts[0]) == [64, 220, 50256, 275]
+
+
 def check_ids(rows, docs, end):
     want, at = [], 0
     for doc_id, text in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0)):
@@ -95,3 +107,24 @@ def test_packing_whole_table(spark):
     for r in rows:
         steps[r.step_group] += r.length
     assert max(steps.values()) <= packing.STEP_TOKENS
+
+
+def test_op9_query(spark, tmp_path):
+    """The registered query over a table with awkward rows and control strings, its pieces against the library's ids."""
+    docs = [(i, t) for i, t in enumerate(["a <|endoftext|> b", None, "", "word " * 3000, "same", "same", "é 漢 😀 " * 700])]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in contracts.op9_hierarchical_packing(spark, str(tmp_path)).collect():
+        pieces[r.doc_id].append(r)
+        sequences[r.sequence_id].append(r)
+    for doc_id, text in docs:
+        ids, at = [*whole(text), 0], 0
+        for r in sorted(pieces[doc_id], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == crc(ids[at : at + r.length])
+            at += r.length
+        assert at == len(ids)
+    for own in sequences.values():
+        own.sort(key=lambda r: r.offset)
+        assert [r.offset for r in own] == np.cumsum([0, *(r.length for r in own)])[:-1].tolist()
+        assert (total := sum(r.length for r in own)) <= 1024 and total & (total - 1) == 0
+    assert len(pieces) == len(docs)
