@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rillspark.functions import text, values
 from rillspark.operators import grouping, joins, outcomes
+from rillspark.plans.index import Down, sort_columns, with_index
 from rillspark.plans.pipeline import Pipeline, pipeline
 from rillspark.sources.build import POSITION, frame_of
 from rillspark.streaming import tasks
@@ -81,8 +82,19 @@ class Flow:
             raise ValueError("this operator needs an order: give the flow order=[...] with keys that are unique together")
         return self.order
 
+    def _rising(self) -> Flow:
+        """This flow with an order of ascending keys alone: where a key goes down, the place of each row is the key."""
+        if not any(isinstance(c, Down) for c in self._need_order()):
+            return self
+        name = self._fresh("_place")
+        return Flow(with_index(self.df, self.order, name), [name])
+
     def _sorted(self, backwards: bool = False) -> DataFrame:
-        return self.df.orderBy(*(F.col(f"`{c}`").desc_nulls_last() if backwards else F.col(f"`{c}`").asc_nulls_first() for c in self._need_order()))
+        return self.df.orderBy(*sort_columns(self._need_order(), backwards))
+
+    def _cell(self, column: str | None) -> Column:
+        """A column by name, or the record of all columns."""
+        return F.col(f"`{column}`") if column else F.struct(*(F.col(f"`{c}`") for c in self.df.columns))
 
     def _column(self, what: Any) -> Column:
         return values.column_of(self.df, what)
@@ -97,10 +109,10 @@ class Flow:
         """One row for each. fn: a Column, an SQL expression, a dict of those by name, or a callable that builds one from fields.
 
         With a schema, fn is plain Python over a row as a dict, in Arrow batches, and what it raises becomes the row's
-        error. wrap=True gives records (input, output). The order's columns stay.
+        error; an async function is awaited. wrap=True gives records (input, output). The order's columns stay.
         """
         if schema is not None:
-            return self._with(outcomes.attempt_python(self.df, fn, schema, keep=True))
+            return self._with(tasks.concurrently(self.df, fn, schema))
         made = fn(values.Fields(self.df)) if callable(fn) and not isinstance(fn, Column) else fn
         made = made if isinstance(made, dict) else {name: made}
         made = {k: F.expr(v) if isinstance(v, str) else v if isinstance(v, Column) else F.lit(v) for k, v in made.items()}
@@ -167,7 +179,8 @@ class Flow:
 
     def stop_when(self, condition: Condition) -> Flow:
         """Rows in order up to the first that meets the condition, with it."""
-        return self._with(grouping.until(self.df, self._condition(condition), self._need_order()))
+        rows = self._rising()
+        return rows._with(grouping.until(rows.df, rows._condition(condition), rows.order))
 
     # shapes
 
@@ -184,21 +197,25 @@ class Flow:
 
     def collect(self, column: str | None = None, name: str = "value") -> Flow:
         """One row with an array of all rows, or of a column, in order."""
-        return Flow(grouping.collect_all(self.df, self._need_order(), F.col(f"`{column}`") if column else None, name))
+        rows = self._rising()
+        return Flow(grouping.collect_all(rows.df, rows.order, self._cell(column), name))
 
     def batch(self, size: float, column: str | None = None) -> Flow:
         """(batch, values): arrays of `size` neighbours."""
-        return Flow(grouping.batches(self.df, self._need_order(), size, F.col(f"`{column}`") if column else None), ["batch"])
+        rows = self._rising()
+        return Flow(grouping.batches(rows.df, rows.order, size, self._cell(column)), ["batch"])
 
     # folds and groups
 
     def reduce(self, step: Callable[[Column, Column], Column], init: Any, column: str | None = None, by: list[str] | None = None, name: str = "value") -> Flow:
         """A left fold in order by a callable over Columns; always one row without `by`. For sums and the like, agg() is cheaper."""
         init = init if isinstance(init, Column) else F.lit(init)
-        return Flow(grouping.fold(self.df, self._need_order(), init, step, by, F.col(f"`{column}`") if column else None, name), by)
+        rows = self._rising()
+        return Flow(grouping.fold(rows.df, rows.order, init, step, by, self._cell(column), name), by)
 
     def reduce1(self, step: Callable[[Column, Column], Column], column: str | None = None, by: list[str] | None = None, name: str = "value") -> Flow:
-        return Flow(grouping.fold1(self.df, self._need_order(), step, by, F.col(f"`{column}`") if column else None, name), by)
+        rows = self._rising()
+        return Flow(grouping.fold1(rows.df, rows.order, step, by, self._cell(column), name), by)
 
     def async_reduce(self, fn: Callable[[Any, dict], Any], init: Any, schema: str, by: list[str] | None = None) -> Flow:
         """A left fold by an async (or plain) Python function, one group at a time in a task; the result has the group's keys."""
@@ -210,7 +227,8 @@ class Flow:
 
     def group_by(self, key: Any, column: str | None = None) -> Flow:
         """(key, values): rows, or a column of them, in order by key; null keys are a group."""
-        return Flow(grouping.groups(self.df, self._column(key), self._need_order(), F.col(f"`{column}`") if column else None), ["key"])
+        rows = self._rising()
+        return Flow(grouping.groups(rows.df, rows._column(key), rows.order, self._cell(column)), ["key"])
 
     def key_by(self, key: Any, strict: bool = True) -> Flow:
         """(key, value): the row of each key; a key with several raises, or goes if not strict (see repeated_keys())."""
@@ -221,7 +239,8 @@ class Flow:
 
     def sorted_group_by(self, key: Any) -> Flow:
         """(run, key, values): neighbours of equal keys; a key that comes back is another run."""
-        return Flow(grouping.runs(self.df, self._column(key), self._need_order()), ["run"])
+        rows = self._rising()
+        return Flow(grouping.runs(rows.df, rows._column(key), rows.order), ["run"])
 
     def uniq(self) -> Flow:
         """Different rows, by value; the order's columns don't count, and are dropped, unless they are all there is."""
@@ -231,27 +250,48 @@ class Flow:
     def uniq_by(self, keys: Any) -> Flow:
         """The first row of each key, or of each tuple of several."""
         keys = keys if isinstance(keys, (list, tuple)) else [keys]
-        return self._with(grouping.first_of_each(self.df, [self._column(k) for k in keys], self._need_order()))
+        rows = self._rising()
+        return rows._with(grouping.first_of_each(rows.df, [rows._column(k) for k in keys], rows.order))
 
     # order and limits
 
+    def _fresh(self, stem: str) -> str:
+        return next(n for i in itertools.count() if (n := f"{stem}{i}") not in self.df.columns)
+
     def sort(self, column: str = "value", as_text: bool = False) -> Flow:
         """In order of a column, as text if as_text; the flow's order breaks ties."""
         key = F.col(f"`{column}`").cast("string") if as_text else F.col(f"`{column}`")
-        name = f"_sort_{column}"
+        name = self._fresh("_sort")
         return Flow(self.df.withColumn(name, key), [name, *self.order])
 
     def sort_by(self, *keys: Any) -> Flow:
-        """In order of Columns (col.desc() too) or paths; the flow's order breaks ties. Sorted output: see values() and take()."""
-        made, names = self.df, []
-        for i, k in enumerate(keys):
-            names.append(f"_by{i}")
-            column, reverse = (self._column(k), False) if not isinstance(k, tuple) else (self._column(k[0]), k[1] == "desc")
-            made = made.withColumn(names[-1], -column if reverse else column)
-        return Flow(made, [*names, *self.order])
+        """In order of Columns, paths or callables that build a Column, of any type that has an order; (key, "desc") goes down.
+
+        The flow's order breaks ties, so sort_by() after sort_by() sorts by the later, then the earlier. A single callable
+        of two arguments compares two records (a Column below, at or above 0); such an order is made in one task.
+        Sorted output: see values() and take().
+        """
+        if len(keys) == 1 and callable(keys[0]) and not isinstance(keys[0], Column) and keys[0].__code__.co_argcount == 2:
+            rows, name = self._rising(), self._fresh("_by")
+            record = F.struct(*(F.col(f"`{c}`") for c in rows.df.columns))
+            given = grouping.collect_all(rows.df, rows.order, record).select(F.posexplode(F.array_sort("value", keys[0])).alias(name, "__r"))
+            return Flow(given.select("__r.*", name), [name])
+        made, names = self, []
+        for k in keys:
+            key, way = k if isinstance(k, tuple) else (k, "asc")
+            if way not in ("asc", "desc"):
+                raise ValueError(f"sort_by goes asc or desc, got {way!r}")
+            name = made._fresh("_by")
+            made = Flow(made.df.withColumn(name, self._column(key)), made.order)
+            names.append(Down(name) if way == "desc" else name)
+        return Flow(made.df, [*names, *self.order])
 
     def slice(self, start: float = 0, end: float | None = None) -> Flow:
-        """Rows from place `start` to before `end`; start must be below end. slice(0) is the flow itself."""
+        """Rows from place `start` to before `end`; start must be below end. slice(0) is the flow itself.
+
+        With an end the first `end` rows are selected in each task and then among those; without one, rows are numbered by
+        ranges of the order, so none of it sorts everything in one task.
+        """
         for v in (start, end):
             if v is not None and not isinstance(v, (int, float)):
                 raise TypeError(f"slice needs numbers, got {v!r}")
@@ -259,9 +299,11 @@ class Flow:
             raise ValueError(f"slice needs start < end, got {start} and {end}")
         if start == 0 and end is None:
             return self
-        rows = self._sorted()
-        rows = rows.offset(int(start)) if start else rows
-        return self._with(rows.limit(int(end - start)) if end is not None else rows)
+        if end is None:
+            name = self._fresh("_at")
+            return self._with(with_index(self.df, self._need_order(), name).where(F.col(name) >= int(start)).drop(name))
+        rows = self._sorted().limit(int(end))
+        return self._with(Flow(rows, self.order)._sorted().offset(int(start)) if start else rows)
 
     def take(self, n: int) -> Flow:
         return self.slice(0, n)
@@ -276,20 +318,29 @@ class Flow:
         return self._with(self._sorted(backwards=True).limit(1))
 
     def with_index(self, name: str = "_index") -> Flow:
-        from rillspark.plans.index import with_index
-
         return self._with(with_index(self.df, self._need_order(), name))
 
     # two flows and more
 
-    def sorted_join(self, other: Flow, key: Any, other_key: Any = None, how: str = "inner", merge: bool = False) -> Flow:
-        """(key, a, b): pairs with equal keys, null equal to null; left and right keep rows without a partner."""
-        return Flow(joins.keyed_join(self.df, other.df, self._column(key), other._column(other_key if other_key is not None else key), how, merge))
+    def sorted_join(self, other: Flow, key: Any, other_key: Any = None, how: str = "inner", merge: bool = False, dir: str = "asc") -> Flow:
+        """(key, a, b): pairs with equal keys, null equal to null; left and right keep rows without a partner.
+
+        The inputs need no order. The result's is by key, up or down (dir), for values(), take() and the like.
+        """
+        if dir not in ("asc", "desc"):
+            raise ValueError(f"sorted_join goes asc or desc, got {dir!r}")
+        df = joins.keyed_join(self.df, other.df, self._column(key), other._column(other_key if other_key is not None else key), how, merge)
+        return Flow(df, [Down("key") if dir == "desc" else "key"])
+
+    def merge(self, *others: Flow, ordered: bool = False, par: int | None = None) -> Flow:
+        """All rows of all flows; ordered=True puts this flow's rows first, then each other's, in their own orders.
 
-    def merge(self, *others: Flow, ordered: bool = False) -> Flow:
-        """All rows of all flows; ordered=True puts this flow's rows first, then each other's, in their own orders."""
+        par bounds how many flows an in-memory stream reads at once; here the scheduler's free cores do, so it is only checked.
+        """
         if not all(isinstance(o, Flow) for o in others):
             raise TypeError("merge() takes flows")
+        if par is not None and par < 1:
+            raise ValueError("par must be at least 1")
         df = joins.merged([self.df, *(o.df for o in others)], ordered)
         return Flow(df, ["_branch", *self.order] if ordered else self.order)
 
@@ -324,7 +375,8 @@ class Flow:
 
     def join_chunks(self, column: str = "value") -> Flow:
         """One row: chunks, cut anywhere, as one text."""
-        return Flow(text.joined_chunks(self.df, self._need_order(), column))
+        rows = self._rising()
+        return Flow(text.joined_chunks(rows.df, rows.order, column))
 
     def encode(self, encoding: str = "base64", column: str = "value") -> Flow:
         if encoding != "base64":
@@ -336,36 +388,47 @@ class Flow:
             raise ValueError(f"unknown encoding {encoding}")
         return self._with(self.df.withColumn(column, text.from_base64(F.col(f"`{column}`"))))
 
-    def csv(self, header: bool | list[str] | Callable = False, column: str = "value", width: int | None = None, **how) -> Flow:
+    def csv(self, header: bool | list[str] | Callable = False, column: str = "value", width: int | None = None, quote: str = '"', escape: str = '"', separator: str = ",", encoding: str = "utf8", fast_mode: bool = False) -> Flow:
         """Rows of CSV text. header: True (the first row names the columns), names, or a function of the first row; False needs a width.
 
-        The chunks of the flow, in order, are one text; its records end at line feeds and returns outside quotes.
+        The chunks of the flow, text or bytes cut anywhere, are one text in order; its records end at line feeds and returns
+        outside quotes. fast_mode: no quotes, and a line feed ends a record always. An escape before a quote or another
+        escape stands for that. The first row reaches the driver if it names the columns.
         """
-        whole = text.joined_chunks(self.df, self._need_order(), column)
-        rows = whole.select(F.posexplode(text.csv_records(F.col(column), how.get("quote", '"'))).alias(POSITION, column))
-        skip = 0
+        chunks = self._rising()
+        rows = text.csv_rows(chunks.df, chunks.order, column, POSITION, quote, escape, encoding, fast_mode)
         if isinstance(header, (list, tuple)):
             names = list(header)
         elif header:
-            first = rows.where(f"{POSITION} = 0").collect()
-            split_names = text.parse_csv(rows.where(f"{POSITION} = 0"), column, [f"c{i}" for i in range(first[0][column].count(how.get("separator", ",")) + 1 if first else 0)], **how).drop(POSITION).collect()
-            names, skip = [v for v in split_names[0] if v is not None] if split_names else [], 1
+            first = rows.orderBy(POSITION).limit(1).select(POSITION, text.csv_cells(F.col(column), separator, quote, escape, fast_mode).alias("names")).first()
+            names = list(first.names) if first else []
             names = list(header(names)) if callable(header) else names
+            rows = rows.where(F.col(POSITION) > (first[POSITION] if first else -1))
         else:
             if width is None:
                 raise ValueError("csv without a header needs a width")
             names = [f"c{i}" for i in range(width)]
-        return Flow(text.parse_csv(rows.where(F.col(POSITION) >= skip), column, names, **how), [POSITION])
+        return Flow(text.parse_csv(rows, column, names, separator, quote, escape, fast_mode), [POSITION])
+
+    def csv_stringify(self, columns: list[str] | None = None, header: bool | list[str | None] = False, name: str = "value", **how) -> Flow:
+        """A line of CSV text for each row; header=True puts a line of names first, if there are rows.
 
-    def csv_stringify(self, columns: list[str] | None = None, header: bool = False, name: str = "value", **how) -> Flow:
-        """A line of CSV text for each row; header=True puts a line of names first, if there are rows."""
+        header may be a list: of columns to write, or else names for the columns by place, of which a None leaves its column out.
+        how: quote, escape, separator, line_ending, quoted, quoted_empty; encoding (other than utf8: lines are bytes).
+        """
         columns = columns or [c for c in self.df.columns if c not in self.order] or self.df.columns
-        line = text.csv_line(self.df, columns, **how)
-        rows = self.df.select(*(F.col(f"`{c}`") for c in self.order), line.alias(name))
+        names = columns
+        if isinstance(header, (list, tuple)):
+            if set(header) <= set(columns):
+                columns = names = list(header)
+            else:
+                pairs = [(c, h) for c, h in zip(columns, header) if h is not None]
+                columns, names = [c for c, _ in pairs], [h for _, h in pairs]
+        rows = self.df.select(*(F.col(f"`{c}`") for c in self.order), text.csv_line(self.df, columns, **how).alias(name))
         if not header:
             return self._with(rows)
-        names = self.df.limit(1).select(*(F.lit(c).alias(c) for c in columns))
-        first = names.select(*(F.lit(None).cast(self.df.schema[c].dataType).alias(c) for c in self.order), text.csv_line(names, columns, **how).alias(name))
+        titles = self.df.limit(1).select(*(F.lit(h).alias(f"h{i}") for i, h in enumerate(names)))
+        first = titles.select(*(F.lit(None).cast(self.df.schema[c].dataType).alias(c) for c in self.order), text.csv_line(titles, titles.columns, **how).alias(name))
         return Flow(joins.merged([first, rows], ordered=True), ["_branch", *self.order])
 
     # errors
@@ -397,14 +460,15 @@ class Flow:
         if outcomes.ERROR not in self.df.columns:
             return self
         stop = F.col(outcomes.ERROR).isNotNull()
-        rows = self._with(grouping.until(self.df, stop, self._need_order(), inclusive=replacement is not None))
-        return rows.errors(replacement)
+        rows = self._rising()
+        return rows._with(grouping.until(rows.df, stop, rows.order, inclusive=replacement is not None)).errors(replacement)
 
     # time and concurrency
 
     def throttle(self, ms: float, time: str, by: list[str] | None = None) -> Flow:
         """At most one row in `ms` of event time in each group, the first ones."""
-        return self._with(grouping.spaced(self.df, by or [], time, self._need_order(), ms / 1000))
+        rows = self._rising()
+        return rows._with(grouping.spaced(rows.df, by or [], time, rows.order, ms / 1000))
 
     def ratelimit(self, num: int, ms: int, name: str = "release_ms") -> Flow:
         """The time after the start at which each row is let go, `num` in each `ms`. Streams: see streaming.limited()."""
@@ -415,8 +479,8 @@ class Flow:
         return self._with(tasks.concurrently(self.df, fn, schema, par, keep=True, in_order=preserve_order))
 
     def mass_then(self, fn: Callable[[dict], Any], schema: str) -> Flow:
-        """fn over the rows that are no errors."""
-        return self._with(outcomes.attempt_python(self.df, fn, schema, keep=True))
+        """fn, async or plain, over the rows that are no errors; what it gives is awaited, what it raises is the row's error."""
+        return self._with(tasks.concurrently(self.df, fn, schema))
 
     def mass_catch(self, handler: Any) -> Flow:
         return self.errors(handler)

@@ -6,9 +6,9 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rillspark.functions.values import escape_reg_exp
+from rillspark.plans.index import with_sum
 
 LINES = r"\r?\n"
 
@@ -38,37 +38,101 @@ def from_base64(column: Column) -> Column:
     return F.unbase64(F.when(good, F.rpad(bare, F.ceil(F.length(bare) / 4) * 4, F.lit("="))))
 
 
-def csv_cell(column: Column, kind: T.DataType, quote: str = '"', escape: str = '"', separator: str = ",", line_ending: str = "\n", quoted: bool = False, quoted_empty: bool = False) -> Column:
-    """A value as a CSV cell: quoted if it holds the quote, separator, line ending or escape, or if `quoted`. Null prints as null."""
+def charset(encoding: str) -> str:
+    """The JVM's name of an encoding: utf8, utf16le, latin1 (binary) or ascii; other names pass."""
+    return {"utf8": "UTF-8", "utf-8": "UTF-8", "utf16le": "UTF-16LE", "ucs2": "UTF-16LE", "latin1": "ISO-8859-1", "binary": "ISO-8859-1", "ascii": "US-ASCII"}.get(encoding.lower(), encoding)
+
+
+def csv_cell(column: Column, quote: str = '"', escape: str = '"', separator: str = ",", line_ending: str = "\n", quoted: bool = False, quoted_empty: bool = False) -> Column:
+    """A value as a CSV cell: quoted if it holds the quote, separator, line ending or an escape of its own, or if `quoted`. Null prints as null.
+
+    Quotes in it get the escape in front, and so does an escape that is not the quote, so that parse_csv() reads it back.
+    """
     text = F.coalesce(column.cast("string"), F.lit("null"))
-    wrapped = F.concat(F.lit(quote), F.replace(text, F.lit(quote), F.lit(escape + quote)), F.lit(quote))
-    if quoted:
-        return F.when(text == "", F.lit(quote * 2 if quoted_empty else "")).otherwise(wrapped)
-    special = F.lit(False)
+    inner = F.replace(text, F.lit(escape), F.lit(escape * 2)) if escape != quote else text
+    wrapped = F.concat(F.lit(quote), F.replace(inner, F.lit(quote), F.lit(escape + quote)), F.lit(quote))
+    special = F.lit(quoted)
     for s in {quote, separator, line_ending, escape}:
         special = special | F.contains(text, F.lit(s))
     return F.when(text == "", F.lit(quote * 2 if quoted_empty else "")).when(special, wrapped).otherwise(text)
 
 
-def csv_line(df: DataFrame, columns: list[str], separator: str = ",", line_ending: str = "\n", **how) -> Column:
-    """A row of these columns as CSV text with its line ending; a column that df lacks prints as null."""
-    cells = [csv_cell(F.col(f"`{c}`"), df.schema[c].dataType, separator=separator, line_ending=line_ending, **how) if c in df.columns else F.lit("null") for c in columns]
-    return F.concat(F.concat_ws(separator, *cells), F.lit(line_ending))
+def csv_line(df: DataFrame, columns: list[str], separator: str = ",", line_ending: str = "\n", encoding: str = "utf8", **how) -> Column:
+    """A row of these columns as CSV text with its line ending, as bytes if the encoding is not utf8; a column that df lacks prints as null."""
+    cells = [csv_cell(F.col(f"`{c}`"), separator=separator, line_ending=line_ending, **how) if c in df.columns else F.lit("null") for c in columns]
+    line = F.concat(F.concat_ws(separator, *cells), F.lit(line_ending))
+    return line if charset(encoding) == "UTF-8" else F.encode(line, charset(encoding))
+
+
+def _quoted(quote: str, escape: str) -> str:
+    """A pattern of a quoted stretch. All its loops are possessive, so that a match needs no stack however long it is."""
+    q, e = escape_reg_exp(quote), escape_reg_exp(escape)
+    return f"{q}(?:[^{q}]++|{q}{q})*+{q}" if quote == escape else f"{q}(?:[^{q}{e}]++|{e}.)*+{q}"
 
 
-def csv_schema(names: list[str]) -> str:
-    return ", ".join(f"`{n}` string" for n in names)
+def csv_cells(record: Column, separator: str = ",", quote: str = '"', escape: str = '"', fast: bool = False) -> Column:
+    """The cells of a record: an array of strings. A cell that is quoted loses its quotes and escapes; fast: there are no quotes."""
+    if fast:
+        return F.split(record, escape_reg_exp(separator), -1)
+    q, s = escape_reg_exp(quote), escape_reg_exp(separator)
+    plain = f"[^{q}{s}]++" if len(separator) == 1 else f"(?:(?!{s})[^{q}])++"
+    raw = F.regexp_extract_all(F.concat(record, F.lit(separator)), F.lit(f"(?s)((?:{_quoted(quote, escape)}|{plain}|{q})*+){s}"), 1)
 
+    def bare(cell: Column) -> Column:
+        inner = F.substr(cell, F.lit(2), F.length(cell) - 2)
+        inner = F.replace(inner, F.lit(quote * 2), F.lit(quote)) if quote == escape else F.regexp_replace(inner, f"{escape_reg_exp(escape)}([{q}{escape_reg_exp(escape)}])", "$1")
+        return F.when((F.length(cell) > 1) & F.startswith(cell, F.lit(quote)) & F.endswith(cell, F.lit(quote)), inner).otherwise(cell)
 
-def parse_csv(df: DataFrame, column: str, names: list[str], separator: str = ",", quote: str = '"', escape: str = '"') -> DataFrame:
-    """One record a row (its quotes may hold line feeds) to string columns; empty cells are empty strings, missing ones null."""
-    mark = "\x00none"
-    options = {"sep": separator, "quote": quote, "escape": escape, "nullValue": mark, "emptyValue": "", "multiLine": "true", "mode": "PERMISSIVE"}
-    parsed = df.withColumn("__r", F.from_csv(column, csv_schema(names), options))
-    return parsed.select(*(c for c in df.columns if c != column), *(F.coalesce(F.col(f"__r.`{n}`"), F.lit("")).alias(n) for n in names))
+    return F.transform(raw, bare)
 
 
-def csv_records(column: Column, quote: str = '"') -> Column:
-    """The records of a CSV text: line feeds, returns and both end one unless they stand in quotes; blank lines vanish."""
+def parse_csv(df: DataFrame, column: str, names: list[str], separator: str = ",", quote: str = '"', escape: str = '"', fast: bool = False) -> DataFrame:
+    """One record a row (its quotes may hold line feeds) to string columns; empty cells are empty strings, missing ones null, further ones left out."""
+    cells = df.withColumn("__cells", csv_cells(F.col(column), separator, quote, escape, fast))
+    return cells.select(*(c for c in df.columns if c != column), *(F.get("__cells", F.lit(i)).alias(n) for i, n in enumerate(names)))
+
+
+def csv_records(column: Column, quote: str = '"', escape: str = '"', fast: bool = False) -> Column:
+    """The records of a CSV text: line feeds, returns and both end one unless they stand in quotes; blank lines vanish.
+
+    fast: a line feed ends a record always, and blank lines are records.
+    """
+    if fast:
+        return F.split(F.regexp_replace(column, r"\n\z", ""), "\n", -1)
+    q = escape_reg_exp(quote)
+    return F.regexp_extract_all(column, F.lit(rf"(?s)((?:{_quoted(quote, escape)}|[^{q}\r\n]++|{q})++)"), 1)
+
+
+def csv_rows(df: DataFrame, order: list[str], column: str, position: str, quote: str = '"', escape: str = '"', encoding: str = "utf8", fast: bool = False) -> DataFrame:
+    """(position, column): the records of chunks, cut anywhere, that are one CSV text in order; positions are ascending.
+
+    Where quotes are escaped by themselves and each control character is a byte, no task sees more than its chunks and the
+    pieces of a record: the quotes of the chunks before tell whether a chunk begins within quotes, each chunk is cut at the
+    line ends outside quotes, and a record's pieces meet by the count of such line ends before them. Other dialects put the
+    text together in one row.
+    """
+    known, chunk = charset(encoding), F.col(f"`{column}`").cast("binary")
+    if fast or quote != escape or known not in ("UTF-8", "ISO-8859-1", "US-ASCII"):
+        parts = F.array_sort(F.collect_list(F.struct(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(order)), F.hex(chunk).alias("__chunk"))))
+        whole = df.agg(F.decode(F.unhex(F.array_join(F.transform(parts, lambda p: p["__chunk"]), "")), known).alias(column))
+        return whole.where(F.length(column) > 0).select(F.posexplode(csv_records(F.col(column), quote, escape, fast)).alias(position, column))
+    # a letter for each byte, so that chunks may be cut within characters
+    letters = F.decode(chunk, "ISO-8859-1")
+    rows = df.where(chunk.isNotNull()).select(*(F.col(f"`{c}`") for c in order), letters.alias("__t"))
+    rows = with_sum(rows, order, F.length("__t") - F.length(F.replace("__t", F.lit(quote), F.lit(""))), "__quotes")
+    within = F.col("__quotes") % 2 == 1
     q = escape_reg_exp(quote)
-    return F.filter(F.regexp_extract_all(column, F.lit(rf"((?:{q}[^{q}]*{q}|[^{q}\r\n])+)"), 1), lambda r: r != "")
+    text = F.when(within, F.concat(F.lit(quote), F.col("__t"))).otherwise(F.col("__t"))
+    found = F.regexp_extract_all(text, F.lit(rf"(?s)((?:{q}[^{q}]*+(?:{q}|\z)|[^{q}\r\n]++)*+(?:[\r\n]++|\z))"), 1)
+    found = F.filter(found, lambda p: p != "")
+    # every piece but the last ends a record
+    last = F.element_at("__found", -1)
+    open_end = ((F.length(last) - F.length(F.replace(last, F.lit(quote), F.lit("")))) % 2 == 1) | ~last.rlike(r"[\r\n]\z")
+    rows = rows.withColumn("__found", found).withColumn("__done", F.when(F.size("__found") > 0, F.size("__found") - open_end.cast("int")).otherwise(0))
+    rows = with_sum(rows, order, F.col("__done"), "__first")
+    pieces = rows.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(order)), within.alias("__in"), "__first", F.posexplode("__found").alias("__n", "__p"))
+    bare = F.when(F.col("__in") & (F.col("__n") == 0), F.substr("__p", F.lit(len(quote) + 1))).otherwise(F.col("__p"))
+    made = pieces.select((F.col("__first") + F.col("__n")).alias(position), F.struct(*(f"k{i}" for i in range(len(order))), "__n", bare.alias("piece")).alias("part"))
+    joined = made.groupBy(position).agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["piece"]), "").alias("__r"))
+    record = F.decode(F.encode(F.regexp_replace("__r", r"[\r\n]++\z", ""), "ISO-8859-1"), known)
+    return joined.select(position, record.alias(column)).where(F.col(column) != "")

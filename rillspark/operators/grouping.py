@@ -7,11 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillspark.plans.index import with_index
-
-
-def ascending(order: list[str]) -> list[Column]:
-    return [F.col(f"`{c}`").asc_nulls_first() for c in order]
+from rillspark.plans.index import PART, PARTS, offsets, ranged, sort_columns, with_index
 
 
 def ordered_values(df: DataFrame, order: list[str], value: Column | None = None) -> Column:
@@ -79,32 +75,30 @@ def repeated_keys(df: DataFrame, key: Column) -> DataFrame:
     return df.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where("n > 1").withColumn("message", message)
 
 
-def runs(df: DataFrame, key: Column, order: list[str], parts: int = 64) -> DataFrame:
+def runs(df: DataFrame, key: Column, order: list[str], parts: int = PARTS) -> DataFrame:
     """(run, key, values): runs of neighbours with equal keys, in order; a key that comes back begins another run.
 
-    A run starts where the key differs from the row before. Places come from a distributed index; slices of 65,536 places
-    look back apart, the row before a slice is joined to it, and the starts of slices are summed to offsets.
+    A run starts where the key differs from the row before. Ranges of the order look back apart, the last key of the range
+    before is handed to the first row of each, and the starts of ranges, a row each, are summed to offsets.
     """
-    rows = with_index(df.withColumn("__key", key), order, "__at", parts)
-    before = F.lag(F.struct("__key", "__at")).over(Window.partitionBy("__slice").orderBy("__at"))
-    size = 1 << 16  # places of a slice: the row before the first of one is fetched by its place
-    sliced = rows.withColumn("__slice", F.floor(F.col("__at") / size))
-    edge = rows.where(F.col("__at") % size == size - 1).select((F.col("__at") + 1).alias("__next"), F.struct("__key", "__at").alias("__edge"))
-    joined = sliced.withColumn("__before", before).join(edge, F.col("__at") == F.col("__next"), "left").withColumn("__before", F.coalesce("__before", "__edge"))
-    starts = joined.withColumn("__starts", (F.col("__before").isNull() | ~F.col("__before.__key").eqNullSafe(F.col("__key"))).cast("bigint"))
-    totals = starts.groupBy(F.col("__slice").alias("__s")).agg(F.sum("__starts").alias("__n"))
-    totals = totals.select("__s", (F.sum("__n").over(Window.orderBy("__s")) - F.col("__n")).alias("__base"))
-    own = F.sum("__starts").over(Window.partitionBy("__slice").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
-    numbered = starts.withColumn("__own", own).join(totals, F.col("__slice") == F.col("__s")).withColumn("run", F.col("__base") + F.col("__own") - 1)
-    values = F.transform(F.array_sort(F.collect_list(F.struct("__at", F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("v")))), lambda p: p["v"])
-    return numbered.groupBy("run").agg(F.first("__key").alias("key"), values.alias("values"))
+    rows = ranged(df.withColumn("__key", key), order, parts)
+    own = Window.partitionBy(PART).orderBy(*sort_columns(order))
+    before = F.lag(F.struct("__key")).over(own)
+    place = F.struct(*(F.col(f"`{c}`") for c in order))  # nulls come first
+    last = rows.groupBy(PART).agg(F.max_by(F.struct("__key"), place).alias("__last"))
+    last = last.select(F.col(PART).alias("__q"), F.lag("__last").over(Window.orderBy(PART)).alias("__edge"))
+    looked = rows.withColumn("__look", before).join(F.broadcast(last), F.col(PART) == F.col("__q")).withColumn("__look", F.coalesce("__look", "__edge"))
+    starts = looked.withColumn("__starts", (F.col("__look").isNull() | ~F.col("__look.__key").eqNullSafe(F.col("__key"))).cast("bigint"))
+    numbered = starts.withColumn("__own", F.sum("__starts").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    totals = offsets(numbered.groupBy(PART).agg(F.sum("__starts").alias("__n")), "__n")
+    numbered = numbered.join(totals, F.col(PART) == F.col("__p")).withColumn("run", F.col("__before") + F.col("__own") - 1)
+    return numbered.groupBy("run").agg(F.first("__key").alias("key"), ordered_values(numbered, order, F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("values"))
 
 
 def first_of_each(df: DataFrame, keys: list[Column], order: list[str]) -> DataFrame:
-    """The first row in order of each tuple of keys; null is a key like any other."""
-    named = df.withColumns({f"__u{i}": k for i, k in enumerate(keys)})
-    w = Window.partitionBy(*(f"__u{i}" for i in range(len(keys)))).orderBy(*ascending(order))
-    return named.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(*(F.col(f"`{c}`") for c in df.columns))
+    """The first row in order of each tuple of keys; null is a key like any other. Firsts are taken before the shuffle too."""
+    row, place = F.struct(*(F.col(f"`{c}`") for c in df.columns)), F.struct(*(F.col(f"`{c}`") for c in order))
+    return df.groupBy(*(k.alias(f"__u{i}") for i, k in enumerate(keys))).agg(F.min_by(row, place).alias("__row")).select("__row.*")
 
 
 def until(df: DataFrame, condition: Column, order: list[str], inclusive: bool = True) -> DataFrame:

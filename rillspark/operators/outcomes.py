@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,35 +17,6 @@ def attempt(df: DataFrame, name: str, tried: Column, source: Column, message: st
     return df.withColumn(name, tried).withColumn(ERROR, F.coalesce(F.col(ERROR), error) if ERROR in df.columns else error.cast(ERROR_TYPE))
 
 
-def attempt_python(df: DataFrame, fn: Callable[[dict], Any], schema: str, keep: bool = False) -> DataFrame:
-    """fn over each row as a dict, in Arrow batches; what it raises or returns as an exception is the row's error.
-
-    fn gives a dict, or a value for a schema of one column. keep=True keeps the input's columns. Rows that are errors
-    already pass.
-    """
-    made = T.StructType.fromDDL(schema)
-    fields = [*(df.schema.fields if keep else []), *made.fields]
-    fields = [T.StructField(f.name, f.dataType) for f in fields if f.name != ERROR] + [T.StructField(ERROR, ERROR_TYPE)]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for record in frame.to_dict("records"):
-                error, given = record.pop(ERROR, None), {}
-                if error is None:
-                    try:
-                        given = fn(record)
-                        if isinstance(given, BaseException):
-                            raise given
-                        given = given if isinstance(given, dict) else {made.names[0]: given}
-                    except Exception as e:  # noqa: BLE001  the error is data here
-                        error, given = {"message": str(e), "type": type(e).__name__, "input": repr(record)}, {}
-                rows.append({**(record if keep else {}), **given, ERROR: error})
-            yield pd.DataFrame(rows, columns=[f.name for f in fields], dtype=object)
-
-    return df.mapInPandas(run, T.StructType(fields))
-
-
 def good(df: DataFrame) -> DataFrame:
     """The rows that are no errors, without the error column."""
     return df.where(F.col(ERROR).isNull()).drop(ERROR) if ERROR in df.columns else df

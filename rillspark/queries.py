@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import asyncio
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillspark.flow import Flow, flow
+from rillspark.flow import Flow, Writer, extend, flow
+from rillspark.functions.text import parse_csv
 from rillspark.plans.pipeline import pipeline
-from rillspark.sources.build import END, recursive_frame
+from rillspark.plans.places import new_path
+from rillspark.sources.build import END, read_bytes, read_lines, recursive_frame
 from rillspark.streaming import run_available, stream_of, throttle_stream, uniq_stream, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,8 +52,9 @@ coalesce(json_extract_string(props, '$.none.at'), 'absent') AS missing FROM even
 def pluck_path(spark, d):
     f = table(spark, d, "events", EVENTS)
     f = Flow(f.df.withColumn("doc", F.parse_json("props")), EVENTS)
-    both = f.pluck("doc.none.at", "absent", "missing").df.join(f.pluck("doc.k", name="k").df, "event_id")
-    return both.select("event_id", F.coalesce(F.col("k").cast("bigint"), F.lit(-1)).alias("k"), "missing")
+    kept = Flow(f.df.select("event_id", "doc"), ["event_id", "doc"])  # the order's columns stay
+    both = Flow(kept.pluck("doc.k", name="k").df, ["event_id", "doc", "k"]).pluck("doc.none.at", "absent", "missing")
+    return both.df.select("event_id", F.coalesce(F.col("k").cast("bigint"), F.lit(-1)).alias("k"), "missing")
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer")
@@ -150,6 +152,18 @@ def topk_sort_by(spark, d):
     return table(spark, d, "orders", ["o_orderkey"]).sort_by(("o_totalprice", "desc")).take(15).df.select("o_orderkey", "o_totalprice")
 
 
+@query("SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY c_mktsegment DESC, c_name, c_custkey) - 1 AS place FROM customer")
+def sort_by_text_down(spark, d):
+    f = table(spark, d, "customer", ["c_custkey"]).sort_by("c_name").sort_by(("c_mktsegment", "desc")).with_index("place")
+    return f.df.select("c_custkey", "c_mktsegment", "place")
+
+
+@query("SELECT n_nationkey, n_name, row_number() OVER (ORDER BY length(n_name), n_nationkey) - 1 AS place FROM nation")
+def sort_by_compare(spark, d):
+    f = table(spark, d, "nation", ["n_nationkey"]).sort_by(lambda a, b: F.length(a["n_name"]) - F.length(b["n_name"]) + F.when(F.length(a["n_name"]) == F.length(b["n_name"]), F.sign(a["n_nationkey"] - b["n_nationkey"]).cast("int")).otherwise(0))
+    return f.with_index("place").df.select("n_nationkey", "n_name", "place")
+
+
 @query("SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events")
 def distributed_index(spark, d):
     return table(spark, d, "events", EVENTS).with_index("place").df.select("event_id", "place")
@@ -182,9 +196,9 @@ def batch_100(spark, d):
     return f.batch(100).df.select("batch", F.size(v).cast("bigint").alias("n"), v[0]["event_id"].alias("first_id"), F.element_at(v, -1)["event_id"].alias("last_id"), total.alias("total"))
 
 
-@query("SELECT md5(string_agg(n_name, ',' ORDER BY n_nationkey)) AS names, count(*) AS n FROM nation")
+@query("SELECT md5(string_agg(c_name, ',' ORDER BY c_custkey)) AS names, count(*) AS n FROM customer")
 def collect_names(spark, d):
-    f = table(spark, d, "nation", ["n_nationkey"]).collect("n_name")
+    f = table(spark, d, "customer", ["c_custkey"]).collect("c_name")
     return f.df.select(F.md5(F.array_join("value", ",")).alias("names"), F.size("value").cast("bigint").alias("n"))
 
 
@@ -217,13 +231,23 @@ def reduce1_fold(spark, d):
     return f.reduce1(lambda a, q: (a * 2 - q) % 1000003, "q", by=["l_orderkey"]).df
 
 
-@query("SELECT n_regionkey, string_agg(n_name, '>' ORDER BY n_nationkey) AS path FROM nation GROUP BY n_regionkey")
+@query("SELECT c_nationkey, md5(string_agg(c_name, '>' ORDER BY c_custkey)) AS path FROM customer GROUP BY c_nationkey")
 def async_reduce(spark, d):
     async def step(memo, row):
         await asyncio.sleep(0)
-        return row["n_name"] if memo is None else f"{memo}>{row['n_name']}"
+        return row["c_name"] if memo is None else f"{memo}>{row['c_name']}"
 
-    return table(spark, d, "nation", ["n_nationkey"]).async_reduce(step, None, "path string", by=["n_regionkey"]).df
+    f = table(spark, d, "customer", ["c_custkey"]).async_reduce(step, None, "path string", by=["c_nationkey"])
+    return f.df.select("c_nationkey", F.md5("path").alias("path"))
+
+
+@query("""SELECT list_reduce(list_prepend(7::BIGINT, list(c_nationkey::BIGINT ORDER BY c_custkey)), lambda x, y: (x * 31 + y) % 1000003) AS folded,
+list_reduce(list(c_nationkey::BIGINT ORDER BY c_custkey), lambda x, y: (x * 2 - y) % 1000003) AS folded1 FROM customer""")
+def reduce_ordered(spark, d):
+    f = table(spark, d, "customer", ["c_custkey"])
+    f = Flow(f.df.select("c_custkey", F.col("c_nationkey").cast("bigint").alias("n")), ["c_custkey"])
+    folded = f.reduce(lambda a, n: (a * 31 + n) % 1000003, F.lit(7).cast("bigint"), "n", name="folded")
+    return folded.df.crossJoin(F.broadcast(f.reduce1(lambda a, n: (a * 2 - n) % 1000003, "n", name="folded1").df))  # one row each
 
 
 @query("""SELECT key, count(*) AS n, md5(string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey)) AS ids
@@ -269,12 +293,12 @@ def uniq_by_first(spark, d):
 
 def _order_lines(how: str) -> str:
     return f"""SELECT coalesce(o_orderkey, l_orderkey) AS key, o_totalprice AS price, l_linenumber AS line, l_quantity AS quantity
-FROM (SELECT * FROM orders WHERE o_orderstatus <> 'P') o {how} JOIN (SELECT * FROM lineitem WHERE l_linenumber <= 2) l ON o_orderkey IS NOT DISTINCT FROM l_orderkey"""
+FROM (SELECT * FROM orders WHERE o_orderstatus <> 'P') o {how} JOIN (SELECT * FROM lineitem WHERE l_returnflag <> 'A') l ON o_orderkey IS NOT DISTINCT FROM l_orderkey"""
 
 
 def _join_lines(spark, d, how: str) -> DataFrame:
     o = table(spark, d, "orders").filter("o_orderstatus <> 'P'").pick(["o_orderkey", "o_totalprice"])
-    li = table(spark, d, "lineitem").filter("l_linenumber <= 2").pick(["l_orderkey", "l_linenumber", "l_quantity"])
+    li = table(spark, d, "lineitem").filter("l_returnflag <> 'A'").pick(["l_orderkey", "l_linenumber", "l_quantity"])
     return o.sorted_join(li, "o_orderkey", "l_orderkey", how).df.select("key", F.col("a.o_totalprice").alias("price"), F.col("b.l_linenumber").alias("line"), F.col("b.l_quantity").alias("quantity"))
 
 
@@ -301,12 +325,19 @@ def join_null_keys(spark, d):
     return f.df.select("key", F.col("a.n_name").alias("n_name"), F.col("b.s_suppkey").alias("s_suppkey"))
 
 
-@query("SELECT c_nationkey AS key, c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_acctbal > 5000")
+@query("SELECT c_nationkey AS key, c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey")
 def join_m2m(spark, d):
-    f = table(spark, d, "customer").filter("c_acctbal > 5000").sorted_join(table(spark, d, "supplier"), "c_nationkey", "s_nationkey", merge=True)
+    f = table(spark, d, "customer").sorted_join(table(spark, d, "supplier"), "c_nationkey", "s_nationkey", merge=True)
     return f.df.select("key", F.col("a.c_custkey").alias("c_custkey"), F.col("b.s_suppkey").alias("s_suppkey"))
 
 
+@query("SELECT n_nationkey AS key, n_name, count(c_custkey) AS customers FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY n_nationkey, n_name ORDER BY n_nationkey DESC LIMIT 7")
+def join_down(spark, d):
+    customers = table(spark, d, "customer").agg(F.count("*").alias("n"), by=["c_nationkey"])
+    f = table(spark, d, "nation").sorted_join(customers, "n_nationkey", "c_nationkey", "left", dir="desc").take(7)
+    return f.df.select("key", F.col("a.n_name").alias("n_name"), F.coalesce("b.n", F.lit(0)).alias("customers"))
+
+
 # composition
 
 
@@ -317,10 +348,10 @@ def merge_union(spark, d):
 
 
 @query("""SELECT branch, event_id, row_number() OVER (ORDER BY branch, event_id) - 1 AS place FROM (
-SELECT 0 AS branch, event_id FROM events WHERE value > 99 UNION ALL SELECT 1, event_id FROM events WHERE value < 1)""")
+SELECT 0 AS branch, event_id FROM events WHERE value > 50 UNION ALL SELECT 1, event_id FROM events WHERE value <= 50)""")
 def merge_ordered(spark, d):
     f = Flow(table(spark, d, "events").df.select("event_id", "value"), EVENTS)
-    return f.filter("value > 99").merge(f.filter("value < 1"), ordered=True).with_index("place").df.select(F.col("_branch").alias("branch"), "event_id", "place")
+    return f.filter("value > 50").merge(f.filter("value <= 50"), ordered=True).with_index("place").df.select(F.col("_branch").alias("branch"), "event_id", "place")
 
 
 @query("SELECT event_id, CAST(CAST(value AS DECIMAL(18,2)) * 2 AS DOUBLE) AS v FROM events UNION ALL SELECT event_id, CAST(CAST(value AS DECIMAL(18,2)) * 3 AS DOUBLE) FROM events")
@@ -355,9 +386,8 @@ def split_by(spark, d):
 @query("SELECT doc_id, md5(to_base64(encode(text))) AS encoded, md5(text) AS decoded FROM documents")
 def base64_roundtrip(spark, d):
     f = table(spark, d, "documents", ["doc_id"]).pick(["text"]).encode(column="text")
-    back = f.decode(column="text")
-    both = f.df.select("doc_id", F.md5("text").alias("encoded")).join(back.df.select("doc_id", F.md5(F.col("text").cast("string")).alias("decoded")), "doc_id")
-    return both
+    back = f._with(f.df.withColumn("encoded", F.md5("text"))).decode(column="text")
+    return back.df.select("doc_id", "encoded", F.md5(F.col("text").cast("string")).alias("decoded"))
 
 
 _CELL = """CASE WHEN contains({0}, '"') OR contains({0}, ',') OR contains({0}, chr(10)) THEN '"' || replace({0}, '"', '""') || '"' ELSE {0} END"""
@@ -371,13 +401,32 @@ def csv_stringify(spark, d):
 
 @query("SELECT doc_id, lang, md5(text) AS text FROM documents")
 def csv_parse(spark, d):
-    from rillspark.functions.text import parse_csv
-
     f = table(spark, d, "documents", ["doc_id"]).csv_stringify(["lang", "text"], name="line")
     rows = parse_csv(f.df.withColumn("line", F.expr("substring(line, 1, length(line) - 1)")), "line", ["lang", "text"])
     return rows.select("doc_id", "lang", F.md5("text").alias("text"))
 
 
+@query("SELECT doc_id, lang, md5(text) AS text FROM documents")
+def csv_chunks(spark, d):
+    """All documents as one CSV text with a header, in chunks of bytes cut anywhere."""
+    f = table(spark, d, "documents", ["doc_id"]).csv_stringify(["doc_id", "lang", "text"], header=True, name="line")
+    line = F.encode("line", "UTF-8")
+    third = F.ceil(F.length(line) / 3).cast("int")
+    cuts = F.transform(F.array(*map(F.lit, range(3))), lambda i: F.substr(line, i * third + 1, third))
+    chunks = Flow(f.df.select(*f.order, F.posexplode(cuts).alias("k", "value")), [*f.order, "k"])
+    return chunks.csv(header=True).df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", F.md5("text").alias("text"))
+
+
+@query(r"SELECT event_id, md5(props || ' \' || event_type || chr(10) || ',' || '\\') AS said, event_type FROM events")
+def csv_escape(spark, d):
+    """Quotes escaped by a backslash, in texts with backslashes, quotes, separators and line feeds."""
+    said = F.concat("props", F.lit(" \\"), "event_type", F.lit("\n,\\\\"))
+    f = Flow(table(spark, d, "events").df.select("event_id", said.alias("said"), "event_type"), EVENTS)
+    lines = f.csv_stringify(["said", "event_type"], name="value", escape="\\", separator=";")
+    back = parse_csv(lines.df.withColumn("value", F.rtrim("value", F.lit("\n"))), "value", ["said", "event_type"], ";", escape="\\")
+    return back.select("event_id", F.md5("said").alias("said"), "event_type")
+
+
 # time, errors, sources
 
 
@@ -433,83 +482,202 @@ def errors_split(spark, d):
     return _tried(spark, d).failed().df
 
 
-@query(f"SELECT event_id, TRY_CAST(t AS BIGINT) AS n FROM {_TRIED} WHERE event_id < (SELECT min(event_id) FROM {_TRIED} WHERE event_id > 30 AND TRY_CAST(t AS BIGINT) IS NULL) AND event_id > 22")
+@query("""WITH t AS (SELECT event_id, CASE WHEN event_id % 1009 = 1008 THEN event_type ELSE CAST(event_id AS VARCHAR) END AS t FROM events)
+SELECT event_id, TRY_CAST(t AS BIGINT) AS n FROM t WHERE event_id < coalesce((SELECT min(event_id) FROM t WHERE TRY_CAST(t AS BIGINT) IS NULL), 9223372036854775807)""")
 def stop_on_error(spark, d):
-    return _tried(spark, d).filter("event_id > 22 AND (event_id > 30 OR _error IS NULL)").stop_on_error().df.select("event_id", "n")
+    t = F.when(F.col("event_id") % 1009 == 1008, F.col("event_type")).otherwise(F.col("event_id").cast("string"))
+    f = table(spark, d, "events", EVENTS).map({"t": t}).attempt("n", F.expr("try_cast(t AS bigint)"), "t", "not a number")
+    return f.stop_on_error().df.select("event_id", "n")
 
 
-@query("SELECT n_nationkey, n_nationkey * 10 + n_regionkey AS code FROM nation WHERE n_nationkey % 6 <> 0")
+@query("SELECT s_suppkey, s_suppkey * 100 + s_nationkey AS code FROM supplier WHERE s_suppkey % 6 <> 0")
 def resolve_async(spark, d):
     async def code(row):
-        await asyncio.sleep(0.001)
-        if row["n_nationkey"] % 6 == 0:
+        await asyncio.sleep(0.0001)
+        if row["s_suppkey"] % 6 == 0:
             raise ValueError("no code")
-        return int(row["n_nationkey"] * 10 + row["n_regionkey"])
+        return row["s_suppkey"] * 100 + row["s_nationkey"]
 
-    f = table(spark, d, "nation", ["n_nationkey"]).resolve(code, "code int", par=4, preserve_order=False).errors()
-    return f.df.select("n_nationkey", "code")
+    f = table(spark, d, "supplier", ["s_suppkey"]).resolve(code, "code bigint", par=4, preserve_order=False).errors()
+    return f.df.select("s_suppkey", "code")
 
 
-@query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 = 1")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 = 1")
 def async_filter(spark, d):
     async def wanted(row):
-        return row["s_suppkey"] % 3 == 1
+        return row["c_custkey"] % 3 == 1
 
-    return table(spark, d, "supplier").async_filter(wanted, par=8).df.select("s_suppkey", "s_name")
+    return table(spark, d, "customer").async_filter(wanted, par=8).df.select("c_custkey", "c_name")
 
 
-@query("SELECT n_regionkey, count(*) AS n, max(n_name) AS last_name FROM nation GROUP BY n_regionkey")
+@query("SELECT c_nationkey, count(*) AS n, max(c_name) AS last_name FROM customer GROUP BY c_nationkey")
 def consume_groups(spark, d):
     def step(rows):
-        own = list(rows)
-        yield {"n_regionkey": own[0]["n_regionkey"], "n": len(own), "last_name": max(r["n_name"] for r in own)}
+        key, n, last = None, 0, ""
+        for r in rows:
+            key, n, last = r["c_nationkey"], n + 1, max(last, r["c_name"])
+        yield {"c_nationkey": key, "n": n, "last_name": last}
 
-    return table(spark, d, "nation", ["n_nationkey"]).consume(step, "n_regionkey int, n bigint, last_name string", by=["n_regionkey"]).df
+    return table(spark, d, "customer", ["c_custkey"]).consume(step, "c_nationkey int, n bigint, last_name string", by=["c_nationkey"]).df
 
 
-# streams; each runs over all files that are there and is read from its table
+# nullable whole numbers beyond what a double holds, through Python
 
+_WIDE = "CASE WHEN event_id % 3 <> 0 THEN 9007199254740993 + event_id END"
+
+
+def _wide(spark, d) -> Flow:
+    f = table(spark, d, "events", EVENTS)
+    return Flow(f.df.select("event_id", F.expr(_WIDE).alias("n")), EVENTS)
+
+
+@query(f"SELECT event_id, {_WIDE} AS n, CASE WHEN event_id % 3 = 0 THEN 'none' ELSE CAST({_WIDE} + 1 AS VARCHAR) END AS next FROM events")
+def map_python(spark, d):
+    return _wide(spark, d).map(lambda r: "none" if r["n"] is None else str(r["n"] + 1), schema="next string").df.select("event_id", "n", "next")
+
+
+@query(f"SELECT event_id, {_WIDE} AS n, {_WIDE} - 1 AS less FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT event_id, NULL, -1 FROM events WHERE event_id % 3 = 0")
+def mass_then_catch(spark, d):
+    async def less(row):
+        await asyncio.sleep(0)
+        return row["n"] - 1  # a null fails
+
+    f = _wide(spark, d).mass_then(less, "less bigint").mass_catch({"less": F.lit(-1).cast("bigint")})
+    return f.df.select("event_id", "n", "less")
+
+
+@query(f"SELECT event_id, {_WIDE} AS n FROM events")
+def consume_python(spark, d):
+    return _wide(spark, d).consume(lambda rows: (r for r in rows), "event_id bigint, n bigint").df
+
+
+# sources and terminals; what begins or ends on the driver is on the small tables
+
+
+def _nations(spark, d) -> Flow:
+    return table(spark, d, "nation", ["n_nationkey"]).pick(["n_name", "n_regionkey"])
 
-def _events_stream(spark, d, late: str | None = None) -> DataFrame:
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    return stream_of(spark, d, schema, time="ts" if late else None, late=late or "0 seconds", pattern="events.parquet")
 
+_NATIONS = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+_NATION_ROW = "n_nationkey int, n_name string, n_regionkey int"
 
-def _place(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rillspark-")
-    return f"{base.rstrip('/')}/stream-{id(object())}-{next(_COUNT)}"
 
+@query(_NATIONS)
+def values_source(spark, d):
+    return flow(spark, [r.asDict() for r in _nations(spark, d).values()], _NATION_ROW).df.drop("_pos")
 
-def _counter():
-    n = 0
-    while True:
-        yield n
-        n += 1
 
+@query("SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS place FROM nation")
+def pull_in_order(spark, d):
+    return flow(spark, [tuple(r) for r in _nations(spark, d).pull()], _NATION_ROW).df.withColumnRenamed("_pos", "place")
 
-_COUNT = _counter()
+
+@query(_NATIONS)
+def async_iterable_source(spark, d):
+    async def rows():
+        async for r in _nations(spark, d).to_async_iterator():
+            yield tuple(r)
+
+    return flow(spark, rows(), _NATION_ROW).df.drop("_pos")
+
+
+@query("SELECT count(*) AS n, max(n_name) AS last FROM nation")
+def promise_source(spark, d):
+    async def later():
+        rows = _nations(spark, d).to_promise().result()
+        return {"n": len(rows), "last": max(r.n_name for r in rows)}
+
+    return flow(spark, later(), "n bigint, last string").df.drop("_pos")
+
+
+@query(_NATIONS)
+def writer_source(spark, d):
+    writer = Writer(spark, _NATION_ROW)
+    _nations(spark, d).to_array(lambda rows: writer.write(*(tuple(r) for r in rows)))
+    return writer.end().df.drop("_pos")
+
+
+@query("SELECT r_regionkey, r_name FROM region WHERE r_regionkey = 2")
+def value_source(spark, d):
+    row = table(spark, d, "region").where({"r_regionkey": 2}).value()
+    return flow(spark, [tuple(row)], "r_regionkey int, r_name string").df.drop("_pos")
+
+
+@query("SELECT count(*) AS n, sum(o_custkey)::BIGINT AS total FROM orders")
+def each_row(spark, d):
+    n, total = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def add(row):
+        n.add(1)
+        total.add(row.o_custkey)
+
+    table(spark, d, "orders").pick(["o_custkey"]).each(add)
+    return spark.createDataFrame([(n.value, total.value)], "n bigint, total bigint")
+
+
+@query("SELECT event_id, value FROM events WHERE value > 10")
+def tap_observe(spark, d):
+    f = table(spark, d, "events", EVENTS).tap("seen", F.count("*").alias("rows")).observe()
+    return f.filter("value > 10").df.select("event_id", "value")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'view')")
+def extend_method(spark, d):
+    extend("only_of", lambda self, column, *wanted: self.filter(F.col(column).isin(*wanted)))
+    return table(spark, d, "events", EVENTS).through(pipeline().only_of("event_type", "click", "view")).df.select("event_id", "event_type")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def pipe_parquet(spark, d):
+    to = new_path(spark, "piped")
+    table(spark, d, "orders").pick(["o_orderkey", "o_custkey", "o_totalprice"]).pipe(to)
+    return spark.read.parquet(to)
+
+
+@query("SELECT c_name AS line, count(*) AS n FROM customer GROUP BY c_name")
+def pipe_gzip_lines(spark, d):
+    to = new_path(spark, "lines")
+    table(spark, d, "customer").map({"value": F.col("c_name")}).pipe(to, "text", compression="gzip")
+    return read_lines(spark, f"{to}/*.txt.gz").where("value <> ''").groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS lines, sum(octet_length(encode(c_name)) + 1)::BIGINT AS bytes FROM customer")
+def read_gzip_bytes(spark, d):
+    to = new_path(spark, "bytes")
+    table(spark, d, "customer").map({"value": F.col("c_name")}).pipe(to, "text", compression="gzip")
+    found = read_bytes(spark, f"{to}/*.txt.gz", unpack=True, chunk=1000)
+    ends = F.length(F.decode("value", "ISO-8859-1")) - F.length(F.replace(F.decode("value", "ISO-8859-1"), F.lit("\n"), F.lit("")))
+    return found.agg(F.sum(ends).cast("bigint").alias("lines"), F.sum(F.length("value")).cast("bigint").alias("bytes"))
+
+
+# streams; each runs over all files that are there and is read from its table
+
+
+def _events_stream(spark, d, late: str | None = None) -> DataFrame:
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    return stream_of(spark, d, schema, time="ts" if late else None, late=late or "0 seconds", pattern="events.parquet")
 
 
 @query("SELECT event_id, value FROM events WHERE event_type = 'purchase' AND value > 10")
 def stream_filter(spark, d):
-    return run_available(_events_stream(spark, d).where("event_type = 'purchase' AND value > 10").select("event_id", "value"), f"stream_filter_{next(_COUNT)}", _place(spark))
+    return run_available(_events_stream(spark, d).where("event_type = 'purchase' AND value > 10").select("event_id", "value"), new_path(spark, "stream"))
 
 
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
     counted = windows(_events_stream(spark, d, "1 hour"), "ts", "1 day", F.count("*").alias("n"), by=["event_type"])
-    out = run_available(counted, f"stream_windows_{next(_COUNT)}", _place(spark), "complete")
+    out = run_available(counted, new_path(spark, "stream"), "complete")
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
 @query("SELECT DISTINCT user_id FROM events")
 def stream_uniq(spark, d):
-    return run_available(uniq_stream(_events_stream(spark, d, "3650 days"), ["user_id"]), f"stream_uniq_{next(_COUNT)}", _place(spark)).select("user_id")
+    return run_available(uniq_stream(_events_stream(spark, d, "3650 days"), ["user_id"]), new_path(spark, "stream")).select("user_id")
 
 
 @query(ORACLE_SQL["throttle_event_time"])
 def stream_throttle(spark, d):
     rows = _events_stream(spark, d, "0 seconds").select("event_id", "user_id", "ts")
-    return run_available(throttle_stream(rows, ["user_id"], "ts", 86_400), f"stream_throttle_{next(_COUNT)}", _place(spark)).select("event_id", "user_id")
+    return run_available(throttle_stream(rows, ["user_id"], "ts", 86_400), new_path(spark, "stream")).select("event_id", "user_id")
 
 

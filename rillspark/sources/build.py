@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import asyncio
 import base64
+import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -131,3 +133,43 @@ def frame_of(spark: SparkSession, xs: Any, schema: str | None = None, limit: int
     if is_string(xs) or not (is_iterable(xs) or is_promise(xs) or is_async_iterable(xs)):
         raise TypeError(INVALID)
     return records_frame(spark, driver_items(xs), schema)
+
+
+def read_lines(spark: SparkSession, path: str, delimiter: Any = None) -> DataFrame:
+    """(path, _at, value): the lines of text files in order, or the parts between delimiters; .gz files are unpacked. The order is path, _at.
+
+    Without a delimiter a file is read whole in a task, as its order asks; many files are many tasks.
+    """
+    from rillspark.functions.text import LINES, pieces
+
+    parts = pieces(F.col("value"), delimiter if delimiter is not None else re.compile(LINES))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return whole.select("path", F.posexplode(parts).alias("_at", "value"))
+
+
+def read_bytes(spark: SparkSession, path: str, unpack: bool = False, chunk: int = 1 << 16) -> DataFrame:
+    """(path, _at, value binary): files as chunks of bytes in order; unpack takes gzip apart as it goes. The order is path, _at."""
+    import zlib
+
+    import pyarrow as pa
+
+    schema = pa.schema([("path", pa.string()), ("_at", pa.int64()), ("value", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(*(c.to_pylist() for c in b.columns)):
+                at, gunzip = 0, zlib.decompressobj(wbits=31)
+                while content:
+                    if unpack:
+                        piece = gunzip.decompress(content, chunk)
+                        content = gunzip.unconsumed_tail
+                        if gunzip.eof:  # the next member of the file, if any
+                            content, gunzip = gunzip.unused_data, zlib.decompressobj(wbits=31)
+                    else:
+                        piece, content = content[:chunk], content[chunk:]
+                    if piece:
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at]), pa.array([piece], pa.binary())], schema=schema)
+                        at += 1
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "path string, _at bigint, value binary")

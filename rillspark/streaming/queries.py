@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -23,11 +24,18 @@ def stream_of(spark: SparkSession, path: str, schema: T.StructType | str, format
     return out.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if time else out
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now into a memory table of this name, and give the table."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+def run_available(df: DataFrame, place: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there now into Parquet files below `place`, a shared folder of its own, and read them.
+
+    complete: each micro-batch replaces the files of the one before.
+    """
+    out = f"{place}/out"
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", out).start().awaitTermination()
+    else:
+        writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
 def write_available(df: DataFrame, path: str, checkpoint: str, format: str = "parquet") -> None:
@@ -64,19 +72,65 @@ def windows(df: DataFrame, time: str, width: str, *aggregates: Column, by: list[
 
 
 def throttle_stream(df: DataFrame, by: list[str], time: str, seconds: float) -> DataFrame:
-    """Leading-edge sampling in each group with the last kept time as state. Rows of a micro-batch are put in time order; rows
-    that come in a later batch with an earlier time are dropped like those that are too close."""
+    """Leading-edge sampling in each group with the last kept time as state; df has a watermark on `time`, a timestamp.
+
+    Rows of a micro-batch are put in time order; rows that come in a later batch with an earlier time are dropped like those
+    that are too close. A group's state goes once the watermark is `seconds` beyond it: whatever comes then is far enough.
+    """
     kind = df.schema
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         (last,) = state.get if state.exists else (None,)
         rows = pd.concat(list(frames)).sort_values(time, kind="stable")
         kept = []
-        for i, t in enumerate(rows[time].astype("int64") // 1000 if str(rows[time].dtype).startswith("datetime64[ns") else rows[time].astype("datetime64[us]").astype("int64")):
+        for i, t in enumerate(rows[time].astype("datetime64[us]" if rows[time].dt.tz is None else "datetime64[us, UTC]").astype("int64")):
             if last is None or t - last >= seconds * 1e6:
                 kept.append(i)
                 last = int(t)
         state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + int(seconds * 1000), state.getCurrentWatermarkMs() + 1))
         yield rows.iloc[kept]
 
-    return df.groupBy(*by).applyInPandasWithState(run, kind, "last bigint", "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy(*by).applyInPandasWithState(run, kind, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class Events(StreamingQueryListener):
+    """What happens to streams, for handlers by name: start, data (a micro-batch with rows), drain (one without), end, error.
+
+    A handler gets the query's name, or its id, and what there is to say: the progress, or the error's message. Handlers of
+    `error` are called before those of `end`; without any, an error is left to awaitTermination().
+    """
+
+    NAMES = ("start", "data", "drain", "end", "error")
+
+    def __init__(self) -> None:
+        self.handlers: dict[str, list[Callable]] = {n: [] for n in self.NAMES}
+        self.names: dict[str, str] = {}
+
+    def on(self, event: str, handler: Callable[[str, Any], None]) -> Events:
+        self.handlers[event].append(handler)
+        return self
+
+    def _say(self, event: str, query: str, what: Any = None) -> None:
+        for handler in self.handlers[event]:
+            handler(query, what)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.names[str(event.id)] = event.name or str(event.id)
+        self._say("start", self.names[str(event.id)])
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self._say("data" if p.numInputRows else "drain", p.name or str(p.id), p)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        self._say("drain", self.names.get(str(event.id), str(event.id)))
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        name = self.names.pop(str(event.id), str(event.id))
+        if event.exception:
+            self._say("error", name, event.exception)
+        self._say("end", name)

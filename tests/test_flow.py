@@ -2,6 +2,8 @@
 
 import asyncio
 import datetime
+import gzip
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,9 @@ from pyspark.sql import functions as F
 from rillspark import Flow, Writer, extend, flow, fn, is_flow, is_pipeline, pipeline
 from rillspark.functions import values
 from rillspark.operators import outcomes
-from rillspark.sources import END
+from rillspark.plans.index import ranged
+from rillspark.sources import END, read_bytes, read_lines
+from rillspark.streaming import Events, fan_out, limited, run_available, stream_of, throttle_stream, write_available
 
 
 def vals(f, column="value"):
@@ -417,3 +421,165 @@ def test_small_tests_of_values():
     assert values.is_function(len) and values.is_string("") and values.is_error(ValueError()) and values.is_iterable([]) and not values.is_promise(1)
     assert values.curry(lambda a, b, c: a + b + c)(1)(2, 3) == 6 and values.ncurry(2, lambda *x: sum(x))(1)(2) == 3 and values.partial(max, 5)(3) == 5
     assert values.is_defined(0) and not values.is_defined(None) and values.has({"a": None}, "a") and not values.has({}, "a") and not values.has(None, "a")
+
+
+def chunk_flow(spark, chunks):
+    return flow(spark, spark.createDataFrame([(i, bytes(c)) for i, c in enumerate(chunks)], "i long, value binary"), order=["i"])
+
+
+CSV = 'a,b,"c,1"\r\n1,"two ""words""",é漢😀\n\n"multi\nline, ""quoted""\r\n",,"x"\n"",4,5'
+CSV_ROWS = [("1", 'two "words"', "é漢😀"), ('multi\nline, "quoted"\r\n', "", "x"), ("", "4", "5")]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_csv_chunks_cut_anywhere(spark, size):
+    """Chunks may end within quotes, line ends, doubled quotes and characters."""
+    data = CSV.encode()
+    rows = chunk_flow(spark, [data[i : i + size] for i in range(0, len(data), size)]).csv(header=True)
+    assert rows.df.columns == ["_pos", "a", "b", "c,1"]
+    assert [tuple(r)[1:] for r in rows.values()] == CSV_ROWS
+
+
+def test_csv_long_records(spark):
+    long = "x" * 1_000_000
+    quoted = '"' + "y,\n" * 300_000 + '"'
+    rows = chunk_flow(spark, [f"{long},1\n{quoted},2".encode()]).csv(width=2).values()
+    assert [(len(r.c0), r.c1) for r in rows] == [(1_000_000, "1"), (900_000, "2")]
+    escaped = chunk_flow(spark, [f"{long},1\n{quoted},2".encode()]).csv(width=2, escape="\\").values()
+    assert [(len(r.c0), r.c1) for r in escaped] == [(1_000_000, "1"), (900_000, "2")]
+
+
+def test_csv_dialects(spark):
+    rows = chunk_flow(spark, [b'"a\\"b\n1",2\n', b'3,"4 \\\\"\n'])
+    assert [tuple(r)[1:] for r in rows.csv(width=2, escape="\\").values()] == [('a"b\n1', "2"), ("3", "4 \\")]
+    fast = chunk_flow(spark, [b"a,b,c\n1,2,3\n4,5", b',6\nu,"v,z'])
+    assert [tuple(r)[1:] for r in fast.csv(header=True, fast_mode=True).values()] == [("1", "2", "3"), ("4", "5", "6"), ("u", '"v', "z")]
+    wide = "a;b\né;2\n".encode("utf-16-le")
+    assert [tuple(r)[1:] for r in chunk_flow(spark, [wide[:3], wide[3:]]).csv(header=lambda names: [n.upper() for n in names], separator=";", encoding="utf16le").values()] == [("é", "2")]
+    short = chunk_flow(spark, [b"1\n2,,3,4\n"]).csv(header=["a", "b", "c"]).values()
+    assert [tuple(r)[1:] for r in short] == [("1", None, None), ("2", "", "3")]
+    assert chunk_flow(spark, [b""]).csv(header=True).values() == [] and chunk_flow(spark, []).csv(width=1).values() == []
+    assert [tuple(r)[1:] for r in chunk_flow(spark, ["é\n".encode("latin-1")]).csv(width=1, encoding="latin1").values()] == [("é",)]
+
+
+def test_csv_writing_headers_and_encodings(spark):
+    f = flow(spark, [("1", "2", "3"), ("4", "5", "6")], "a string, b string, c string")
+    lines = lambda x: [r.value for r in x.values()]
+    assert lines(f.csv_stringify(header=["h1", None, "h3"])) == ["h1,h3\n", "1,3\n", "4,6\n"]
+    assert lines(f.csv_stringify(header=["c", "a"])) == ["c,a\n", "3,1\n", "6,4\n"]
+    assert bytes(lines(f.csv_stringify(header=True, encoding="utf16le"))[0]) == "a,b,c\n".encode("utf-16-le")
+    back = flow(spark, [('q"\\x', "\\")], "a string, b string").csv_stringify(escape="\\")
+    assert [tuple(r)[1:] for r in back._with(back.df.withColumn("value", F.encode("value", "UTF-8"))).csv(width=2, escape="\\").values()] == [('q"\\x', "\\")]
+
+
+def test_python_sees_whole_numbers_and_nulls(spark):
+    n = 9007199254740993
+    f = flow(spark, [n, None, n + 1], "n bigint")
+    assert [r.m for r in f.map(lambda r: r["n"], schema="m bigint").values()] == [n, None, n + 1]
+    assert [r.n for r in f.consume(lambda rows: iter([r for r in rows]), "n bigint").values()] == [n, None, n + 1]
+    assert [(r.n, r.m) for r in f.resolve(lambda r: r["n"] is None, "m boolean").values()] == [(n, False), (None, True), (n + 1, False)]
+    assert [r.n for r in f.async_filter(lambda r: r["n"] is not None).values()] == [n, n + 1]
+    assert [r.total for r in f.async_reduce(lambda a, r: a + (r["n"] or 0), 0, "total bigint").values()] == [2 * n + 1]
+
+    async def later(row):
+        return row["n"] + 1
+
+    done = f.mass_then(later, "m bigint")
+    assert [r.type for r in done.failed().values()] == ["TypeError"] and [r.m for r in done.errors().values()] == [n + 1, n + 2]
+    unfit = f.map(lambda r: "word" if r["n"] == n else 1, schema="m bigint")
+    assert len(unfit.failed().values()) == 1 and len(unfit.errors().values()) == 2
+
+
+def test_sort_by_any_type(spark):
+    rows = [("b", 2, None), ("a", 1, datetime.datetime(2020, 1, 2)), ("b", 1, datetime.datetime(2020, 1, 1)), (None, 3, None)]
+    f = flow(spark, rows, "s string, n int, t timestamp_ntz")
+    order = lambda x: [r._pos for r in x.values()]
+    assert order(f.sort_by(("s", "desc"))) == [0, 2, 1, 3] and order(f.sort_by("s")) == [3, 1, 0, 2]
+    assert order(f.sort_by("n").sort_by(("s", "desc"))) == [2, 0, 1, 3] and order(f.sort_by(("t", "desc"), ("n", "desc"))) == [1, 2, 3, 0]
+    assert order(f.sort_by(lambda r: -r.n)) == [3, 0, 1, 2]
+    assert order(f.sort_by(lambda a, b: F.coalesce(a["n"] - b["n"], F.lit(0)) * 10 + (a["_pos"] - b["_pos"]).cast("int"))) == [1, 2, 0, 3]
+    down = f.sort_by(("s", "desc"))
+    assert [r._pos for r in down.with_index("at").sort("at").values()] == [0, 2, 1, 3]
+    assert [r._pos for r in down.take(2).values()] == [0, 2] and [r._pos for r in down.drop(1).values()] == [2, 1, 3] and down.last().value()._pos == 3
+    assert [[v._pos for v in r["values"]] for r in down.batch(3).values()] == [[0, 2, 1], [3]]
+    assert [(r.key, len(r["values"])) for r in down.sorted_group_by("s").values()] == [("b", 2), ("a", 1), (None, 1)]
+    assert down.collect("n").value().value == [2, 1, 1, 3] and [r._pos for r in down.uniq_by("n").sort("_pos").values()] == [0, 2, 3]
+    assert [r._pos for r in down.stop_when(lambda r: r.n == 1).values()] == [0, 2]
+    with pytest.raises(ValueError, match="asc or desc"):
+        f.sort_by(("s", "down"))
+
+
+@pytest.mark.parametrize("kind", ["string", "timestamp_ntz", "timestamp", "date", "double", "binary", "decimal(9,3)"])
+def test_index_by_any_type(spark, kind):
+    df = spark.range(3000).withColumn("x", F.expr("(id * 7919) % 1000")).select("id", F.when(F.col("x") % 100 != 0, F.expr({
+        "string": "concat('k', x)", "timestamp_ntz": "timestamp_ntz'2020-10-24 20:00:00' + make_dt_interval(0, 0, x)", "timestamp": "timestamp'2020-10-24 20:00:00' + make_dt_interval(0, 0, x)",
+        "date": "date_add(date'2020-01-01', cast(x as int))", "double": "x / 7.0D", "binary": "encode(concat('k', x), 'utf-8')", "decimal(9,3)": "cast(x / 7 as decimal(9,3))",
+    }[kind]).cast(kind)).alias("k"))
+    got = {r.id: r.at for r in flow(spark, df, order=["k", "id"]).with_index("at").df.collect()}
+    want = {r.id: i for i, r in enumerate(df.orderBy(F.col("k").asc_nulls_first(), "id").collect())}
+    assert got == want
+    plan = flow(spark, df, order=["k", "id"]).with_index("at").df._jdf.queryExecution().toString()
+    assert "WindowSpecDefinition" not in plan or "__part" in plan
+    down = {r.id: r.at for r in flow(spark, df, order=["id"]).sort_by((F.col("k"), "desc")).with_index("at").df.collect()}
+    assert down == {r.id: i for i, r in enumerate(df.orderBy(F.col("k").desc_nulls_last(), "id").collect())}
+
+
+def test_a_first_key_that_all_rows_share_is_split(spark):
+    df = spark.range(10_000).withColumn("k", F.lit("same"))
+    rows = ranged(df, ["k", "id"]).groupBy("__part").count().collect()
+    assert len(rows) == 64 and max(r["count"] for r in rows) < 1000
+
+
+def test_joins_go_up_or_down(spark):
+    a, b = flow(spark, [1, 3, 2], "k int"), flow(spark, [2, 1], "k int")
+    assert [r.key for r in a.sorted_join(b, "k", how="left", dir="desc").values()] == [3, 2, 1] and [r.key for r in a.sorted_join(b, "k").values()] == [1, 2]
+    with pytest.raises(ValueError, match="asc or desc"):
+        a.sorted_join(b, "k", dir="up")
+    with pytest.raises(ValueError, match="par"):
+        a.merge(b, par=0)
+
+
+def test_files(spark, tmp_path):
+    text = "".join(f"line {i} é\n" for i in range(5000))
+    (tmp_path / "a.txt").write_text(text)
+    (tmp_path / "b.txt.gz").write_bytes(gzip.compress(text.encode()) + gzip.compress(b"more"))
+    lines = flow(spark, read_lines(spark, str(tmp_path)), order=["path", "_at"]).values()
+    assert [r.value for r in lines if r.path.endswith("a.txt")] == text.split("\n") and [r.value for r in lines if r.path.endswith("gz")] == (text + "more").split("\n")
+    raw = flow(spark, read_bytes(spark, f"{tmp_path}/b.txt.gz", unpack=True, chunk=777), order=["path", "_at"])
+    assert raw.join_chunks().value().value == text + "more" and raw.df.count() > 50
+    plain = flow(spark, read_bytes(spark, f"{tmp_path}/a.txt", chunk=1000), order=["path", "_at"])
+    assert b"".join(bytes(r.value) for r in plain.values()) == text.encode()
+
+
+def test_stream_events_sinks_and_state(spark, tmp_path):
+    for i in range(3):
+        spark.createDataFrame([(i * 10 + j, f"2020-01-0{i + 1} 00:00:0{j}") for j in range(5)], "n long, t string").selectExpr("n", "to_timestamp_ntz(t) AS t", "n % 2 AS g").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    schema = "n long, t timestamp_ntz, g long"
+    events, said = Events(), []
+    for name in Events.NAMES:
+        events.on(name, lambda query, what, name=name: said.append(name))
+    spark.streams.addListener(events)
+    try:
+        write_available(stream_of(spark, f"{tmp_path}/in", schema), f"{tmp_path}/out", f"{tmp_path}/c1")
+        assert spark.read.parquet(f"{tmp_path}/out").count() == 15
+        seen = {"a": [], "b": []}
+        fan_out(stream_of(spark, f"{tmp_path}/in", schema), [lambda b, i, k=k: seen[k].extend(r.n for r in b.collect()) for k in seen], f"{tmp_path}/c2")
+        assert sorted(seen["a"]) == sorted(seen["b"]) == sorted(i * 10 + j for i in range(3) for j in range(5))
+        rows = throttle_stream(stream_of(spark, f"{tmp_path}/in", schema, files=1, time="t"), ["g"], "t", 3.0)
+        kept = run_available(rows, f"{tmp_path}/throttle")
+        assert {r.n for r in kept.collect()} == {0, 1, 4, 10, 11, 14, 20, 21, 24}
+        total = run_available(stream_of(spark, f"{tmp_path}/in", schema, files=1).groupBy("g").count(), f"{tmp_path}/total", "complete")
+        assert {(r.g, r["count"]) for r in total.collect()} == {(0, 9), (1, 6)}
+        got = []
+        query = limited(spark, f"{tmp_path}/in", schema, 1, "100 milliseconds", lambda b, i: got.append(b.count()), f"{tmp_path}/c3")
+        query.processAllAvailable()
+        query.stop()
+        assert got == [5, 5, 5]
+        bad = stream_of(spark, f"{tmp_path}/in", schema).selectExpr("raise_error('no') AS x")
+        with pytest.raises(Exception, match="no"):
+            write_available(bad, f"{tmp_path}/bad", f"{tmp_path}/c4")
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        time.sleep(1)
+    finally:
+        spark.streams.removeListener(events)
+    assert said.count("start") == said.count("end") == 6 and said.count("error") == 1 and said.count("data") >= 6
