@@ -49,21 +49,55 @@ class Template:
         """The turn's text segments, each with its loss flag."""
         return [(self.before.replace("{role}", self.quoted(role)), False), (self.quoted(text), role in self.learnt), (self.after, False)]
 
-    def parse(self, formatted: str) -> list[tuple[str, str]]:
-        """The (role, text) of each turn of a formatted conversation."""
+    def turn(self) -> re.Pattern:
+        """What a formatted turn looks like, its role and text, still escaped, as groups."""
         a, _, b = self.before.partition("{role}")
         e = re.escape(self.escape)
         # a field runs to the first unescaped control string; what it holds of their first characters is escaped
         role, text = (f"([^{e}{re.escape(c)}]*(?:{e}.[^{e}{re.escape(c)}]*)*)" for c in (b[0], self.after.strip()[0]))
-        one = re.compile(f"{re.escape(a)}{role}{re.escape(b)}{text}{re.escape(self.after)}", re.DOTALL)
-        out, at = [], 0
-        while at < len(formatted):
-            m = one.match(formatted, at)
-            if not m:
-                raise ValueError(f"not a turn at character {at}")
-            out.append(tuple(re.sub(f"{e}(.)", r"\1", x, flags=re.DOTALL) for x in m.groups()))
-            at = m.end()
-        return out
+        return re.compile(f"{re.escape(a)}{role}{re.escape(b)}{text}{re.escape(self.after)}", re.DOTALL)
+
+    def plain(self, field: str) -> str:
+        """A field without its escapes."""
+        return re.sub(f"{re.escape(self.escape)}(.)", r"\1", field, flags=re.DOTALL)
+
+    def parse(self, formatted: str) -> list[tuple[str, str]]:
+        """The (role, text) of each turn of a formatted conversation."""
+        reader = Reader(self)
+        out = list(reader.feed(formatted, []))
+        reader.end()
+        return [t[:2] for t in out]
+
+
+class Reader:
+    """Reads a formatted conversation back: its text comes in pieces, cut anywhere, and only the template says where turns end."""
+
+    def __init__(self, template: Template):
+        self.template, self.one = template, template.turn()
+        self.held: list[str] = []
+        self.marks: list[tuple[int, int]] = []  # of the held text, what the loss mask covers
+        self.size, self.tail = 0, ""
+
+    def feed(self, text: str, marked: list[tuple[int, int]]) -> Iterator[tuple[str, str, str]]:
+        """The (role, text, text under the mask) of the turns that end within this piece; marked: the ranges of it under the mask."""
+        self.marks += [(a + self.size, z + self.size) for a, z in marked]
+        self.held.append(text)
+        self.size += len(text)
+        seam, self.tail = self.tail + text, (self.tail + text)[1 - len(self.template.after) :] if len(self.template.after) > 1 else ""
+        if self.template.after not in seam:
+            return  # a turn goes on
+        whole, at = "".join(self.held), 0
+        while m := self.one.match(whole, at):
+            z = m.end()
+            own = [(max(a, at), min(b, z)) for a, b in self.marks if a < z and b > at]
+            yield (*map(self.template.plain, m.groups()), "".join(self.template.plain(whole[a:b]) for a, b in own))
+            at = z
+        self.held, self.marks = [whole[at:]], [(max(a - at, 0), b - at) for a, b in self.marks if b > at]
+        self.size = len(whole) - at
+
+    def end(self) -> None:
+        if self.size:
+            raise ValueError("the conversation ends within a turn: " + "".join(self.held)[:200])
 
 
 def format_turns(rows: DataFrame, template: Template | None = None, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -137,49 +171,77 @@ def conversations(turns: DataFrame, template: Template | None = None) -> DataFra
 
 
 def digests(turns: DataFrame, template: Template | None = None) -> DataFrame:
-    """Read stored turns back: (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) for each conversation.
+    """Read stored conversations back: (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) for each.
 
-    The parse and the unescaping of each turn need no other turn and run where the rows are. What is left of a turn, its
-    two byte strings, goes in order through the conversation's hashes, which take one pass and hold one batch.
+    The pieces of a conversation go in order through a Reader, which finds its turns by the template alone, and through its
+    hashes, one sequential pass by nature that holds one batch and one turn.
     """
     template = template or Template()
     kind = turns.schema["conv_id"].dataType.simpleString()
-    middle = f"conv_id {kind}, part int, at bigint, turn binary, loss string, chars bigint"
     final = f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    parsed, schema = arrow_schema(middle), arrow_schema(final)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for segments in b.column(3).to_pylist():
-                whole = "".join(s["text"] for s in segments)
-                (role, text), = template.parse(whole)
-                learnt = "".join(s["text"] for s in segments if s["loss"])
-                framed = template.parse("".join(s for s, _ in template.segments("", "")[:1]) + learnt + template.after)
-                for c, v in zip(out, (f"{role}\n{text}\n".encode(), framed[0][1], len(whole))):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, f.type) for c, f in zip(out, list(parsed)[3:]))], schema=parsed)
+    schema = arrow_schema(final)
+
+    class Digest:
+        def __init__(self, conv):
+            self.conv, self.reader = conv, Reader(template)
+            self.n = self.learnt = self.chars = 0
+            self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+
+        def add(self, segments: list[dict]) -> None:
+            text, marked = "".join(s["text"] for s in segments), []
+            at = 0
+            for s in segments:
+                if s["loss"]:
+                    marked.append((at, at + len(s["text"])))
+                at += len(s["text"])
+            self.chars += at
+            for role, said, learnt in self.reader.feed(text, marked):
+                self.n += 1
+                self.turns.update(f"{role}\n{said}\n".encode())
+                self.learnt += len(learnt)
+                self.loss.update(learnt.encode())
+
+        def row(self) -> tuple:
+            self.reader.end()
+            return self.conv, self.n, self.turns.hexdigest(), self.learnt, self.loss.hexdigest(), self.chars
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen = None, False
+        now = None
         for b in itertools.chain(batches, [None]):
             ready = []
-            for conv, turn, loss, chars in zip(*(c.to_pylist() for c in b.columns)) if b is not None else ():
-                if not seen or now[0] != conv:
-                    if seen:
-                        ready.append(now)
-                    now, seen = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0], True
-                now[1] += 1
-                now[2].update(turn)
-                now[3] += len(loss)
-                now[4].update(loss.encode())
-                now[5] += chars
-            if b is None and seen:
-                ready.append(now)
+            for conv, segments in zip(*(c.to_pylist() for c in b.columns)) if b is not None else ():
+                if now is None or now.conv != conv:
+                    if now is not None:
+                        ready.append(now.row())
+                    now = Digest(conv)
+                now.add(segments)
+            if b is None and now is not None:
+                ready.append(now.row())
             if ready:
-                cols = zip(*((c, k, t.hexdigest(), n, l.hexdigest(), m) for c, k, t, n, l, m in ready))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*ready), schema)], schema=schema)
 
-    rows = map_arrow(turns.select("conv_id", "part", "at", "segments"), read, middle)
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "part", "at").select("conv_id", "turn", "loss", "chars")
+    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "part", "at").select("conv_id", "segments")
     return map_arrow(ordered, fold, final)
+
+
+def sql() -> str:
+    """The query over conversations in DuckDB's SQL, by the template's own rules."""
+    escaped = " + ".join(f"length(text) - length(replace(text, '{c}', ''))" for c in ("\\", "#", ":", "<"))
+    in_role = escaped.replace("(text", "(role")
+    return rf"""
+WITH rows AS (
+  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS at FROM rows),
+walked AS (
+  SELECT *, coalesce(last_value(CASE WHEN role IN ('system', 'user', 'assistant') THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'start') AS before,
+    coalesce(last_value(CASE WHEN role IN ('system', 'user', 'assistant') THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY at), 'start') AS after
+  FROM placed),
+checked AS (
+  SELECT *, NOT ((before = 'start' AND role IN ('system', 'user')) OR (before IN ('system', 'assistant') AND role = 'user') OR (before = 'user' AND role = 'assistant')) AS bad FROM walked)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY at) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(role) + length(text) + {in_role} + {escaped} + 15)::BIGINT AS formatted_chars,
+  sum(bad::INT)::BIGINT AS turns_in_error, arg_max(after, at) AS end_state, (sum(bad::INT) = 0 AND arg_max(after, at) = 'assistant') AS valid
+FROM checked GROUP BY conv_id
+"""

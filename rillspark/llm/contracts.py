@@ -11,7 +11,7 @@ from rillspark.llm.common import cut, documents, new_path, read
 #: A text is predicted to be toxic from this score on.
 TOXIC = 0.3
 NAMES = ["op1_license_digests", "op2_factorization_machine", "op3_chunked_media", "op4_tokeniser_fertility", "op5_repeated_passages", "op6_chat_segments", "op8_sainte_lague_mix", "op7_orc_token_ids", "op9_hierarchical_packing", "op10_simhash_components"]
-SQL: dict[str, str] = {"op1_license_digests": licenses.sql(), "op8_sainte_lague_mix": mixing.SQL}
+SQL: dict[str, str] = {"op1_license_digests": licenses.sql(), "op6_chat_segments": chat.sql(), "op8_sainte_lague_mix": mixing.SQL}
 
 
 def op1_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def op1_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).documents.select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(documents(spark, sf_dir)).documents.select("doc_id", "size", "source_size", "target", "taken", "shard")
 
 
 def op2_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Tokens are words here. Each source's documents stand in a seeded order; that stream of words, repeated, is cut into
 blocks of block_words. Seats (blocks) go to the highest quotients target / (2k - 1). The method is house-monotone, so the
 seats of the first i shards are a prefix of those of all shards, and their differences are the integer quotas of shard i.
-A source's seats are the first blocks of its seeded stream: no document is cut but the one where they end.
+A source's seats are the first blocks of its seeded stream: no document is cut but the one where they end. Shard i takes
+the quota of blocks that follow those of the shards before, so each word that the mix takes is in one shard.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ HASH_BITS, BUCKET_BITS = 60, 12
 
 @dataclass
 class Mix:
-    """quotas: (shard, source, blocks). documents: (doc_id, source, size, source_size, target, taken), one row for each input row."""
+    """quotas: (shard, source, blocks). documents: (doc_id, source, size, source_size, target, taken, shard), one row for each input row;
+    shard is where its first word is taken, null if none is."""
 
     quotas: DataFrame
     documents: DataFrame
@@ -83,35 +85,41 @@ def apportion(aims: DataFrame, block_words: int, shards: int, most: int = 3) ->
     return rows.join(won, ["shard", "place"], "left").select("shard", "source", "place", (F.col("low") + F.coalesce("won", F.lit(0))).alias("seats"))
 
 
-def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], most: int, block_words: int, shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """The quotas, and for each source and hash bucket: where it begins in its source, and what the source takes."""
+def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], most: int, block_words: int, shards: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The quotas; for each source and hash bucket, where it begins in its source; for each source, its size, its target and the words that it has given when each shard ends."""
     rows = picked(docs, doc_id=id_col, text=text_col, source=source_col)
     sized = cut(rows.select("source", n_words(F.col("text")).alias("size"), bucket(F.col("doc_id"), seed).alias("bucket")).groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "sizes")
     aims = cut(targets(sized.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, most), "targets")
     seats = cut(apportion(aims, block_words, shards, most), "seats")
     quota = F.col("seats") - F.coalesce(F.lag("seats").over(Window.partitionBy("place").orderBy("shard")), F.lit(0))
     quotas = seats.select("shard", "source", quota.alias("blocks"))
-    last = seats.where(F.col("shard") == shards).select("place", (F.col("seats") * block_words).alias("words"))
-    aimed = aims.join(last, "place", "left").select(F.col("source").alias("__source"), "source_size", "target", F.coalesce("words", F.lit(0)).alias("words"))
+    ends = F.transform(F.array_sort(F.collect_list(F.struct("shard", (F.col("seats") * block_words).alias("words")))), lambda x: x["words"])
+    by_source = seats.groupBy("place").agg(ends.alias("ends"))
+    none = F.array_repeat(F.lit(0).cast("bigint"), shards)
+    aimed = aims.join(by_source, "place", "left").select("source", "source_size", "target", F.coalesce("ends", none).alias("ends"))
     at = F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_size")
-    placed = sized.withColumn("bucket_at", at).join(aimed, F.col("source").eqNullSafe(F.col("__source"))).drop("source", "bucket_size")
-    return quotas, placed.select(*(F.col(c).alias(c if c == "__source" else f"__{c}") for c in placed.columns))
+    placed = sized.withColumn("bucket_at", at).select(F.col("source").alias("__source"), F.col("bucket").alias("__bucket"), F.col("bucket_at").alias("__bucket_at"))
+    return quotas, placed, cut(aimed.select(*(F.col(c).alias(f"__aim_{c}") for c in aimed.columns)), "aims")
 
 
 def bucket(doc_id: Column, seed: int) -> Column:
     return F.shiftright(seeded(doc_id, seed), HASH_BITS - BUCKET_BITS).cast("int")
 
 
-def _taken(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """docs, all columns, with __size and __taken, and with __source_size and __target of the source."""
+def _taken(docs: DataFrame, placed: DataFrame, aims: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """docs, all columns, with __size, __taken and __shard, and with __aim_source_size and __aim_target of the source."""
     doc_id, source = F.col(f"`{id_col}`"), F.col(f"`{source_col}`")
     rows = docs.withColumns({"__size": n_words(F.col(f"`{text_col}`")), "__h": seeded(doc_id, seed)}).withColumn("__its_bucket", F.shiftright("__h", HASH_BITS - BUCKET_BITS).cast("int"))
     found = rows.join(placed, source.eqNullSafe(F.col("__source")) & (F.col("__its_bucket") == F.col("__bucket")))
     own = Window.partitionBy("__source", "__bucket").orderBy("__h", doc_id.asc_nulls_first(), "__size").rowsBetween(Window.unboundedPreceding, 0)
     start = F.col("__bucket_at") + F.sum("__size").over(own) - F.col("__size")
-    rounds, rest = F.expr("__words div greatest(__source_size, 1)"), F.expr("__words % greatest(__source_size, 1)")
+    found = found.withColumn("__start", start).join(aims, F.col("__source").eqNullSafe(F.col("__aim_source")))
+    words, size = F.element_at("__aim_ends", -1), F.greatest("__aim_source_size", F.lit(1))
+    rounds, rest = F.floor(words / size).cast("bigint"), words % size
     taken = rounds * F.col("__size") + F.greatest(F.lit(0), F.least(F.col("__size"), rest - F.col("__start")))
-    return found.withColumn("__start", start).withColumn("__taken", taken.cast("bigint"))
+    found = found.withColumn("__taken", taken.cast("bigint"))
+    before = F.size(F.filter("__aim_ends", lambda e: e <= F.col("__start")))
+    return found.withColumn("__shard", F.when(F.col("__taken") > 0, before + 1))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block_words: int = 16, shards: int = 64, seed: int = 7) -> Mix:
@@ -122,20 +130,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Repeated rows count once each. An empty table gives empty results. Reruns agree: order hangs on seed, id and size only.
     A source's order is split by hash bucket, so that a hot source's documents are summed in many tasks.
     """
-    quotas, placed = _plan(docs, id_col, text_col, source_col, weights, most, block_words, shards, seed)
+    quotas, placed, aims = _plan(docs, id_col, text_col, source_col, weights, most, block_words, shards, seed)
     rows = picked(docs, doc_id=id_col, text=text_col, source=source_col).select("doc_id", "source", "text")
-    done = _taken(rows, placed, "doc_id", "text", "source", seed)
-    return Mix(quotas, done.select("doc_id", "source", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken")))
+    done = _taken(rows, placed, aims, "doc_id", "text", "source", seed)
+    return Mix(quotas, done.select("doc_id", "source", F.col("__size").alias("size"), F.col("__aim_source_size").alias("source_size"), F.col("__aim_target").alias("target"), F.col("__taken").alias("taken"), F.col("__shard").alias("shard")))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block_words: int = 16, shards: int = 64, seed: int = 7) -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each time that a document is taken.
+    """The mix itself, with the columns of docs: a row for each time that a document is taken. Ids that tie keep apart by size.
 
     A document taken whole keeps its text; where its source's blocks end within it, a row has its first words alone, with
     the white space before each, and chars_col, if it is a column, follows. Documents of which nothing is taken have no row.
     """
-    _, placed = _plan(docs, id_col, text_col, source_col, weights, most, block_words, shards, seed)
-    rows = _taken(docs, placed, id_col, text_col, source_col, seed).where("__taken > 0")
+    _, placed, aims = _plan(docs, id_col, text_col, source_col, weights, most, block_words, shards, seed)
+    rows = _taken(docs, placed, aims, id_col, text_col, source_col, seed).where("__taken > 0")
     times = rows.withColumn("__part", F.explode(F.expr("transform(sequence(1, cast(ceil(__taken / cast(__size as double)) as int)), i -> least(__size, __taken - (i - 1) * __size))")))
     text, part = F.col(f"`{text_col}`"), F.col("__part")
     words = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"))
@@ -171,13 +179,17 @@ tried AS (
   SELECT place, total, target, unnest(range(1, (source_size * 3) // 16 + 1)) AS k FROM aims),
 ranked AS (
   SELECT place, total, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, place) AS nth FROM tried),
+shards AS (SELECT unnest(range(1, 65)) AS shard),
 seats AS (
-  SELECT place, count(*) * 16 AS words FROM ranked WHERE nth <= total // 16 GROUP BY place),
+  SELECT place, shard, count(*) * 16 AS words FROM ranked JOIN shards ON nth <= shard * (total // 16) // 64 GROUP BY place, shard),
 placed AS (
-  SELECT s.doc_id, s.size, a.source_size, a.target, coalesce(w.words, 0) AS words,
+  SELECT s.doc_id, s.size, a.source_size, a.target, a.place, coalesce(w.words, 0) AS words,
          sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.doc_id NULLS FIRST, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size AS start
-  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source LEFT JOIN seats w ON a.place = w.place)
-SELECT doc_id, size, source_size, target,
-       ((words // greatest(source_size, 1)) * size + greatest(0, least(size, words % greatest(source_size, 1) - start)))::BIGINT AS taken
-FROM placed
+  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source LEFT JOIN seats w ON a.place = w.place AND w.shard = 64),
+taken AS (
+  SELECT *, ((words // greatest(source_size, 1)) * size + greatest(0, least(size, words % greatest(source_size, 1) - start)))::BIGINT AS taken FROM placed),
+ends AS (SELECT place, list(words ORDER BY shard) AS ends FROM seats GROUP BY place)
+SELECT doc_id, size, source_size, target, taken,
+       CASE WHEN taken > 0 THEN 65 - len(list_filter(ends, lambda e: e > start)) END AS shard
+FROM taken LEFT JOIN ends USING (place)
 """

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillspark.llm.common import arrow_schema, cut, drop_cut, map_arrow, picked
@@ -209,7 +209,7 @@ def samples(texts: list[str], n_bytes: int, shingle: int) -> np.ndarray:
     """
     out = np.zeros((len(texts), n_bytes), np.uint8)
     rng = np.random.default_rng(42)
-    flip, times = (rng.integers(0, 1 << 64, n_bytes, np.uint64, endpoint=False) for _ in range(2))
+    flip, times = rng.integers(0, 1 << 64, (n_bytes, 2), np.uint64, endpoint=False).T  # a position's order hangs on its number alone
     for a, z in parts(texts):
         h, doc = shingles(texts[a:z], shingle)
         if not len(h):
@@ -260,36 +260,51 @@ def _led(prints: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return lead, near
 
 
-def _across(prints: np.ndarray, root: np.ndarray, least: int, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of near rows of different roots, for rows in order of root: all, or for each row those of its `most` best that come after it or before it."""
+def _across(prints: np.ndarray, root: np.ndarray, n_bytes: int, least: int, fine: int, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i < j) of near rows of different roots, for rows in order of root: all, or those that are among the `most` best of either row.
+
+    Near rows tally `least` of their first n_bytes bytes, and then `fine` of all.
+    """
     n, i = len(root), 0
     ends = np.searchsorted(root, root, side="right")
+    coarse = np.ascontiguousarray(prints[:, :n_bytes])
+    step = max(1, CELLS // n)
+    found: list[tuple[np.ndarray, ...]] = []
     while i < n:
-        j = min(n, i + max(1, CELLS // n))
-        start = ends[i] if most is None and root[i] == root[j - 1] else 0 if most else i
-        shared = _tally(prints, np.arange(i, j)[:, None], np.arange(start, n)[None, :])
-        good = (shared >= least) & (root[i:j, None] != root[None, start:])
+        j = min(n, i + step)
+        start = int(ends[i])  # rows of roots after that of row i
+        a, b = np.nonzero((_tally(coarse, np.arange(i, j)[:, None], np.arange(start, n)[None, :]) >= least) & (root[i:j, None] < root[None, start:]))
+        a, b = a + i, b + start
+        shared = np.concatenate([_tally(prints, a[k : k + (1 << 12)], b[k : k + (1 << 12)]) for k in range(0, len(a), 1 << 12)]) if len(a) else np.zeros(0, np.int16)
+        good = shared >= fine
         if most is None:
-            good &= root[i:j, None] < root[None, start:]
-        elif n > most:
-            shared[~good] = -1
-            cutoff = np.partition(shared, n - most, axis=1)[:, n - most]
-            good &= shared >= cutoff[:, None]
-            good &= np.cumsum(good, axis=1) <= most  # ties: the first
-        a, b = np.nonzero(good)
-        yield a + i, b + start
+            yield a[good], b[good]
+        else:
+            found.append((a[good], b[good], shared[good]))
+            if sum(len(f[0]) for f in found) > CELLS or j == n:  # what is among the best of all is among the best of what is held
+                a, b, shared = (np.concatenate(v) for v in zip(*found))
+                keep = np.zeros(len(a), bool)
+                for side in (a, b):
+                    by = np.lexsort((b, a, -shared, side))
+                    rank = np.arange(len(by)) - np.searchsorted(side[by], side[by])
+                    keep[by[rank < most]] = True
+                found = [(a[keep], b[keep], shared[keep])]
         i = j
+    if found:
+        yield found[0][:2]
 
 
-def _candidates(prints: DataFrame, choices: list[tuple[int, ...]], n_bytes: int, least: int, most: int | None = None) -> DataFrame:
+def _candidates(prints: DataFrame, choices: list[tuple[int, ...]], n_bytes: int, least: int, most: int | None = None, fine_bytes: int = 0, fine: int = 0) -> DataFrame:
     """(a, b, shared): nodes that share all bytes of a choice and tally at least `least` shared bytes; prints (node, print) or (node, print, root).
 
     Without roots each row of a posting (b) joins one that is near (a), the first of the posting or one that leads there: one
     pair a row at most, however many copies. A row that is near others but in none of these pairs comes as a pair with
-    itself, so that the nodes of the result are all that are near any. With roots, the result has near pairs of different
-    roots: for each row of a posting the `most` that share most, or all, each from the first choice whose bytes it shares only.
+    itself, so that the nodes of the result are all that are near any. With roots, prints have fine_bytes bytes, of which
+    pairs must share `fine` too, and the result has near pairs of different roots: those that are among the `most` best of a
+    row of a posting, or all, each from the first choice whose bytes it shares only.
     """
     rooted = "root" in prints.columns
+    width = fine_bytes if rooted else n_bytes
     ddl = "route bigint, node binary, print binary" + (", root binary" if rooted else "")
     schema, pair_ddl = arrow_schema(ddl), "a binary, b binary, shared int"
     pair, chosen = arrow_schema(pair_ddl), np.array(choices)
@@ -298,8 +313,8 @@ def _candidates(prints: DataFrame, choices: list[tuple[int, ...]], n_bytes: int,
         for b in batches:
             if not b.num_rows:
                 continue
-            single = _fixed(b.column(1), n_bytes).astype(np.int64)
-            for part in np.array_split(np.arange(len(choices)), max(1, len(choices) * b.num_rows >> 15)):
+            single = _fixed(b.column(1), width)[:, :n_bytes].astype(np.int64)
+            for part in np.array_split(np.arange(len(choices)), max(1, len(choices) * b.num_rows * width >> 21)):
                 routes = []
                 for c in part:
                     k = np.full(b.num_rows, c, np.int64)
@@ -328,7 +343,7 @@ def _candidates(prints: DataFrame, choices: list[tuple[int, ...]], n_bytes: int,
             if not len(shared_key):
                 return
             batch = batch.take(pa.array(shared_key))  # rows that are alone in their posting are done
-            route, prints = route[shared_key], _fixed(batch.column(2), n_bytes)
+            route, prints = route[shared_key], _fixed(batch.column(2), width)
             root = np.unique(_fixed(batch.column(3), 16).view("S16")[:, 0], return_inverse=True)[1] if rooted else None
             starts = np.concatenate(([0], np.nonzero(route[1:] != route[:-1])[0] + 1))
             sizes = np.diff(np.append(starts, len(route)))
@@ -340,7 +355,7 @@ def _candidates(prints: DataFrame, choices: list[tuple[int, ...]], n_bytes: int,
                     a, z = starts[g], starts[g] + sizes[g]
                     own = root[a:z]
                     if (own != own[0]).any():
-                        found += [(x + a, y + a) for x, y in _across(prints[a:z], own, least, most) if len(x)]
+                        found += [(x + a, y + a) for x, y in _across(prints[a:z], own, n_bytes, least, fine, most) if len(x)]
             else:
                 # postings of few nodes, a distance between rows at a time, the furthest first
                 for step in range(min(FEW, int(sizes.max())) - 1, 0, -1):
@@ -387,23 +402,27 @@ def _candidates(prints: DataFrame, choices: list[tuple[int, ...]], n_bytes: int,
     return map_arrow(rows.repartition("route").sortWithinPartitions(*order), meet, pair_ddl)
 
 
-def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, n_bytes: int = 64, key_bytes: int = 5, n_keys: int = 20, least: int = 38) -> DataFrame:
+def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, n_bytes: int = 64, key_bytes: int = 5, n_keys: int = 20, least: int = 38, fine_bytes: int = 512, fine: int = 371) -> DataFrame:
     """(a, b): pairs of different texts of which at least `similarity` of the word shingles are shared (Jaccard); texts (node, text).
 
     The pairs connect all texts that the pairs found connect; pairs within a group are left out. node is text_key(). Texts
     as similar as `similarity` share each of n_bytes positional bytes with that chance, so they tally `least` of 64 or more but
     for 1 in 100,000, and meet in one of n_keys postings of key_bytes bytes but for 1 in 1,000 (README). A posting by
-    five bytes holds N / 2**40 of N unrelated texts. Candidates are verified by their whole shingle sets, in three
-    rounds: each text with the leading text that it shares most bytes with; then, of different groups left, each with its
-    best in each posting; then all candidates between different groups that are left.
+    five bytes holds N / 2**40 of N unrelated texts. Candidates are verified by their whole shingle sets, in rounds:
+    first each text with the leading text that it shares most bytes with; then, of different groups left, each with its
+    best in each posting; then all candidates between different groups that are left. From the second round on the
+    texts that are near any have fine_bytes positional bytes, of which candidates share `fine` (missed by 1 in 100,000 too).
     """
     schema, ddl = arrow_schema("node binary, print binary"), "a binary, b binary"
     pair = arrow_schema(ddl)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = samples([t or "" for t in b.column(1).to_pylist()], n_bytes, shingle)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in made], pa.binary())], schema=schema)
+    def printed(some: DataFrame, width: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                made = samples([t or "" for t in b.column(1).to_pylist()], width, shingle)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in made], pa.binary())], schema=schema)
+
+        return map_arrow(some.select("node", "text"), run, "node binary, print binary")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -426,11 +445,12 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, n
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in range(2)], schema=pair)
 
-    prints = cut(map_arrow(texts.select("node", "text"), run, "node binary, print binary").groupBy("node").agg(F.first("print").alias("print")), "prints")
+    prints = cut(printed(texts, n_bytes).groupBy("node").agg(F.first("print").alias("print")), "prints")
     choices = position_choices(n_bytes, key_bytes, n_keys)
     led = cut(_candidates(prints, choices, n_bytes, least).distinct(), "candidates")
     near = led.select(F.col("a").alias("node")).union(led.select("b")).distinct()
-    near = cut(near.join(texts.select("node", "text"), "node").dropDuplicates(["node"]), "near-texts")
+    once = texts.groupBy("node").agg(F.first("text").alias("text"))  # copies meet in a partial aggregate before they are dealt
+    near = cut(once.join(near, "node"), "near-texts")
 
     def verified(some: DataFrame) -> DataFrame:
         met = some.join(near.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(near.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
@@ -438,13 +458,13 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, n
 
     tested = cut(led.where("a <> b").groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select("best.a", "b"), "tested")
     found = cut(verified(tested), "similar")
-    own = cut(prints.join(near.select("node"), "node"), "near-prints")
+    own = cut(printed(near, fine_bytes), "near-prints")
     drop_cut(prints)
     drop_cut(led)
     for most in (1, None):
         groups = components(found)
         left = own.join(groups, "node", "left").select("node", "print", F.coalesce("root", "node").alias("root"))
-        more = _candidates(left, choices, n_bytes, least, most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = _candidates(left, choices, n_bytes, least, most, fine_bytes, fine).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         before = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = cut(more.join(before, ["a", "b"], "left_anti"), "tested")
         held = (tested, found)

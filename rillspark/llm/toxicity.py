@@ -7,6 +7,7 @@ together what neither weighs alone, which additive weights can't express.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,14 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillspark.llm.common import map_arrow, picked
+from rillspark.llm.common import cut, drop_cut, map_arrow, picked
 from rillspark.llm.quality import spans
 
 #: First letters of longer words that are terms too, so that inflected and compound forms share one.
 STEMS = (4, 5)
 _EDGES = ".,;:!?\"'()[]{}<>|*_-«»“”„…¿¡"
-#: Bounds of what is fitted: labelled rows, selected terms, and the least evidence for a term (a likelihood ratio statistic).
-ROWS, TERMS, EVIDENCE = 20_000, 4096, 24.0
+#: Bounds of what is fitted: labelled texts and selected terms.
+ROWS, TERMS = 20_000, 4096
 _KEPT = 200_000
 
 
@@ -121,18 +122,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = ROWS, n_terms: int = TERMS, evidence: float = EVIDENCE, factors: int = 8, epochs: int = 20, rate: float = 0.1, decay: float = 1e-5, seed: int = 11) -> Machine:
-    """Fit a machine on at most `rows` labelled documents that are not held out, the first by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = ROWS, n_terms: int = TERMS, evidence: float | None = None, factors: int = 8, epochs: int = 20, rate: float = 0.1, decay: float = 1e-5, seed: int = 11) -> Machine:
+    """Fit a machine on at most `rows` labelled texts that are not held out, the first by a hash of the id.
 
     Only texts and labels are inputs. Rows with a null id, text or label are left out; of several labels of an id the
-    greatest counts, and each document row of an id is an example. Terms are counted on the executors, and the n_terms of
-    most evidence among those that reach `evidence` are selected; the driver gets the selected terms of each example.
-    Without examples every score is 0.5.
+    greatest counts, and each different text of an id is an example. Terms are counted on the executors, and the n_terms of
+    most evidence (a likelihood ratio statistic) are selected, of those that reach `evidence`; by default twice the logarithm
+    of the number of terms, which about one term reaches by chance however many there are. The driver gets the selected
+    terms of each example. Without examples every score is 0.5.
     """
     label = picked(labels, its_id=id_col, y=label_col).where(F.col("y").isNotNull() & F.col("its_id").isNotNull() & ~held_out(F.col("its_id")))
     sample = label.groupBy("its_id").agg((F.max("y") > 0).cast("int").alias("y")).orderBy(F.xxhash64("its_id"), "its_id").limit(rows)
-    # at most `rows` ids and labels are broadcast
-    examples = picked(docs, doc_id=id_col, text=text_col).join(F.broadcast(sample), F.col("doc_id") == F.col("its_id")).where("text is not null").select("doc_id", "text", "y")
+    # at most `rows` ids and labels are broadcast, and then at most `rows` ids with the hash of a text
+    joined = picked(docs, doc_id=id_col, text=text_col).join(F.broadcast(sample), F.col("doc_id") == F.col("its_id")).where("text is not null").withColumn("h", F.xxhash64("text"))
+    chosen = joined.select("its_id", "h").distinct().orderBy(F.xxhash64("its_id"), "its_id", "h").limit(rows)
+    examples = joined.join(F.broadcast(chosen), ["its_id", "h"]).groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.first("y").alias("y"))
+    examples = cut(examples.select("doc_id", "text", "y"), "examples")
     every, counted = T.StructType.fromDDL("term bigint, n1 bigint, n0 bigint"), pa.schema([("term", pa.int64()), ("n1", pa.int64()), ("n0", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n1, n = totals[0] or 0, totals[1]
     if not n:
         return Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)), 0.0)
-    sums = map_arrow(examples.select("text", "y"), count, every).groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    sums = cut(map_arrow(examples.select("text", "y"), count, every).groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "terms")
+    least = evidence if evidence is not None else 2 * math.log(max(2, sums.count()))
 
     def part(k: Column, row: Column, col: Column) -> Column:
         return F.when(k > 0, k * F.log(k * n / (row * col))).otherwise(0.0)
@@ -155,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
     c, d, one, zero = n1 - a, (n - n1) - b, F.lit(float(n1)), F.lit(float(n - n1))
     score = 2 * (part(a, a + b, one) + part(b, a + b, zero) + part(c, c + d, one) + part(d, c + d, zero))
-    chosen = sums.select("term", score.alias("g")).where(F.col("g") >= evidence).orderBy(F.desc("g"), "term").limit(n_terms)
+    chosen = sums.select("term", score.alias("g")).where(F.col("g") >= least).orderBy(F.desc("g"), "term").limit(n_terms)
     hashes = np.sort(np.array([r.term for r in chosen.collect()], np.int64))
     rng, known = np.random.default_rng(seed), {h: (i,) for i, h in enumerate(hashes.tolist())}
     kept = T.StructType.fromDDL("doc_id string, y int, ids array<int>")
@@ -169,6 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     # in order of id and then content, so that fits agree whatever the partitions
     data = sorted((r.doc_id, r.y, r.ids) for r in map_arrow(examples, select, kept).collect())
+    for t in (examples, sums):
+        drop_cut(t)
     y = np.array([r[1] for r in data], float)
     rows_of = np.repeat(np.arange(len(data)), [len(r[2]) for r in data])
     ids = np.array([i for r in data for i in r[2]], np.int64)

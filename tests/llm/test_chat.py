@@ -1,10 +1,12 @@
 """Chat formatting read back against plain Python, and the machine on odd turn orders."""
 
 import hashlib
+import random
 from collections import defaultdict
 
 import pytest
 from tests.llm.helpers import SF
+from tests.oracle import actual, expected
 
 from rillspark.llm import chat, contracts
 from rillspark.llm.common import cut
@@ -33,6 +35,41 @@ def test_op6_whole_table(spark):
     assert next(r for r in found if r.conv_id == -7).valid
 
 
+def test_op6_matches_sql(spark):
+    assert actual(contracts.op6_chat_segments(spark, SF)) == expected(SF, chat.sql())
+
+
+def test_sql_on_odd_turn_orders(spark, tmp_path):
+    rows = [(1, 0, "assistant", "a"), (1, 1, "user", "b"), (2, 0, "system", "#s: <x>\\\\"), (2, 1, "user", None), (2, 2, "assistant", "ok"), (3, 5, None, "x"), (3, 5, "tool:<", "x"), (4, 0, "user", "u"), (4, 1, "user", "é😀"), (4, 2, "tool", "t"), (4, 3, "assistant", "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/c")
+    (tmp_path / "c").rename(tmp_path / "conversations.parquet")
+    sql = chat.sql().replace("FROM conversations", f"FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert actual(contracts.op6_chat_segments(spark, str(tmp_path))) == expected(str(tmp_path / "none"), sql)
+
+
+@pytest.mark.parametrize("cuts", [1, 3, 7, 10_000])
+def test_reading_back_needs_no_row_boundaries(cuts):
+    """A conversation as one text, cut anywhere, gives its turns and what the mask covers."""
+    rng = random.Random(cuts)
+    t, turns = chat.Template(), []
+    for i in range(30):
+        turns.append(("user" if i % 2 == 0 else "assistant", "".join(rng.choice(["a", " ", "<", "\\\\", "#", ":", " </turn>\n", "### user: ", "é"]) for _ in range(rng.randint(0, 40)))))
+    whole, marks = "", []
+    for role, text in turns:
+        for part, learnt in t.segments(role, text):
+            marks += [(len(whole), len(whole) + len(part))] if learnt else []
+            whole += part
+    reader, got = chat.Reader(t), []
+    for a in range(0, len(whole), cuts):
+        z = min(a + cuts, len(whole))
+        got += list(reader.feed(whole[a:z], [(max(x, a) - a, min(y, z) - a) for x, y in marks if x < z and y > a]))
+    reader.end()
+    assert [g[:2] for g in got] == turns and [g[2] for g in got] == [x if r == "assistant" else "" for r, x in turns]
+    with pytest.raises(ValueError, match="within a turn"):
+        list(reader.feed("### user: and", []))
+        reader.end()
+
+
 @pytest.mark.parametrize("text", [SAID, "", "\\", "\\\\", "<", " ", " </turn>\n", "### user: x </turn>\n", "a\n\\", "#:<\\<", "é😀  "])
 def test_escapes_are_reversible(text):
     t = chat.Template()

@@ -53,6 +53,16 @@ def test_the_bound_on_rows_holds(spark):
     assert len(toxicity.fit(docs, labels, rows=50).hashes) <= len(toxicity.fit(docs, labels).hashes)
 
 
+def test_an_id_with_very_many_texts_is_bounded(spark):
+    rows = corpus(60)
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1, f"said {i} times over") for i in range(500)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    machines = [toxicity.fit(d, labels, rows=40, evidence=0.0) for d in (docs, docs.repartition(7))]
+    assert (machines[0].hashes == machines[1].hashes).all() and np.allclose(machines[0].w, machines[1].w)
+    known = {h for t in ("said", "times", "over") for h in toxicity.terms(t)}
+    assert 0 < len(machines[0].hashes) < 40 * 200 and known & set(machines[0].hashes.tolist())
+
+
 def test_margin_is_the_sum_over_pairs():
     rng = np.random.default_rng(0)
     m = toxicity.Machine(np.arange(6), rng.normal(size=6), rng.normal(size=(6, 3)), 0.4)
