@@ -89,7 +89,12 @@ class Reader:
         whole, at = "".join(self.held), 0
         while m := self.one.match(whole, at):
             z = m.end()
-            own = [(max(a, at), min(b, z)) for a, b in self.marks if a < z and b > at]
+            own: list[list[int]] = []
+            for a, b in ((max(a, at), min(b, z)) for a, b in self.marks if a < z and b > at):
+                if own and own[-1][1] == a:
+                    own[-1][1] = b  # an escape may stand across the pieces
+                else:
+                    own.append([a, b])
             yield (*map(self.template.plain, m.groups()), "".join(self.template.plain(whole[a:b]) for a, b in own))
             at = z
         self.held, self.marks = [whole[at:]], [(max(a - at, 0), b - at) for a, b in self.marks if b > at]
@@ -232,16 +237,16 @@ def sql() -> str:
 WITH rows AS (
   SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS at FROM rows),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM rows),
 walked AS (
-  SELECT *, coalesce(last_value(CASE WHEN role IN ('system', 'user', 'assistant') THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'start') AS before,
-    coalesce(last_value(CASE WHEN role IN ('system', 'user', 'assistant') THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY at), 'start') AS after
+  SELECT *, coalesce(last_value(CASE WHEN role IN ('system', 'user', 'assistant') THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'start') AS before,
+    coalesce(last_value(CASE WHEN role IN ('system', 'user', 'assistant') THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY pos), 'start') AS after
   FROM placed),
 checked AS (
   SELECT *, NOT ((before = 'start' AND role IN ('system', 'user')) OR (before IN ('system', 'assistant') AND role = 'user') OR (before = 'user' AND role = 'assistant')) AS bad FROM walked)
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
-  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY at) FILTER (role = 'assistant'), '')) AS loss_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(role) + length(text) + {in_role} + {escaped} + 15)::BIGINT AS formatted_chars,
-  sum(bad::INT)::BIGINT AS turns_in_error, arg_max(after, at) AS end_state, (sum(bad::INT) = 0 AND arg_max(after, at) = 'assistant') AS valid
+  sum(bad::INT)::BIGINT AS turns_in_error, arg_max(after, pos) AS end_state, (sum(bad::INT) = 0 AND arg_max(after, pos) = 'assistant') AS valid
 FROM checked GROUP BY conv_id
 """

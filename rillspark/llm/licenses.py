@@ -23,9 +23,9 @@ EQUIVALENT = (
     ("programme", "program"), ("recognis", "recogniz"), ("sub license", "sublicense"), ("utilis", "utiliz"), ("whilst", "while"),
     ("copyright owner", "copyright holder"), ("https", "http"),
 )
-#: A copyright line: it begins with the sign, or with the word and then a sign, a year or what stands for one, or it has a
-#: year; sentences that go on with "copyright notice" or "copyright holders" are none, wherever they are wrapped.
-COPYRIGHT = r"^[^\p{L}\p{N}\n]*(?:\(c\)|©|all rights reserved|copyright[^\p{L}\p{N}\n]*(?:c\)|©|<|\[|\{|by |year|yyyy|[0-9]{4})|copyright [^\n]*(?:19|20)[0-9]{2})[^\n]*$"
+#: A copyright line: it begins with the sign, with (c) and has a year (else it is a list item), or with the word and then a sign, a year or what stands for one, or a
+#: year ends it; sentences that go on with "copyright notice" or "copyright holders" are none, wherever they are wrapped.
+COPYRIGHT = r"^[^\p{L}\p{N}\n]*(?:\(c\)[^\n]*(?:19|20)[0-9]{2}|©|all rights reserved|copyright[^\p{L}\p{N}\n]*(?:c\)|©|<|\[|\{|by |year|yyyy|[0-9]{4})|copyright [^\n]*(?:19|20)[0-9]{2}[^\p{L}\n]*$)[^\n]*$"
 
 # Public licence texts, and the one-line notices that name a licence.
 _MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
@@ -141,7 +141,7 @@ def report(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_i
     known = cut(digests(known if known is not None else known_licenses(docs.sparkSession)), "known")
     fits = _lengths(known)
     lines = picked(docs, doc_id=id_col, text=text_col).select("doc_id", _lines_form(F.col("text")).alias("lines"))
-    some = F.transform(F.filter(F.transform(F.split("lines", "\n"), F.trim), fits), lambda x: F.sha2(x, 256))
+    some = F.transform(F.filter(F.transform(F.split("lines", "\n"), lambda x: F.trim(x)), fits), lambda x: F.sha2(x, 256))
     form = lines.select("doc_id", _whole_form(F.col("lines")).alias("form"), some.alias("some"))
     rows = cut(form.select("doc_id", F.sha2("form", 256).alias("digest"), F.char_length("form").cast("bigint").alias("canonical_chars"), "some"), "forms")
     hits = rows.select(F.col("doc_id").alias("its_id"), F.explode("some").alias("digest")).join(known, "digest").groupBy("its_id", "license").agg(F.count("*").alias("n"))

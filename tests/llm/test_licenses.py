@@ -38,13 +38,13 @@ def test_variants_of_whole_texts(spark):
 
 def test_every_known_text_at_any_wrap(spark, tmp_path):
     """Short and long texts, wrapped anew at several widths under a copyright line, by the operator and by its SQL."""
-    rows = []
+    rows, sign = [], re.compile(r"^\W*copyright\W*([(]c[)]|<|\[|[0-9]{4})", re.IGNORECASE | re.MULTILINE)
     for name, text in licenses.known_texts():
         if (name, text) in licenses.NOTICES:
             continue
-        signs = [x for x in text.split("\n") if re.match(r"\s*copyright\b.*([0-9]{4}|[(]c[)]|<year>|\\[yyyy\\])", x, re.IGNORECASE)]
-        for width in (40, 72, 79, 100) if not signs else (None,):
-            body = text if width is None else "\n\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n"))
+        for width in (40, 72, 79, 100):
+            # paragraphs with a copyright line of their own stay as they are
+            body = "\n\n".join(p if sign.search(p) else textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n"))
             rows.append((name, f"Copyright (c) 2019, 2021 Some One <one@example.org>\nAll rights reserved.\n\n{body}\n"))
     got = found(spark, [t for _, t in rows])
     assert {(n, got[i].license) for i, (n, _) in enumerate(rows)} == {(n, n) for n, _ in rows} and set(LONG) <= {n for n, _ in rows}
