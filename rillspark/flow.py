@@ -378,15 +378,21 @@ class Flow:
         rows = self._rising()
         return Flow(text.joined_chunks(rows.df, rows.order, column))
 
-    def encode(self, encoding: str = "base64", column: str = "value") -> Flow:
+    def _base64(self, encoding: str, column: str, across: bool, size: int, change: Callable[[Column], Column]) -> Flow:
         if encoding != "base64":
             raise ValueError(f"unknown encoding {encoding}")
-        return self._with(self.df.withColumn(column, text.to_base64(F.col(f"`{column}`"))))
+        if not across:
+            return self._with(self.df.withColumn(column, change(F.col(f"`{column}`"))))
+        rows = self._rising()
+        return Flow(text.across_chunks(rows.df, rows.order, column, POSITION, size, change), [POSITION])
 
-    def decode(self, encoding: str = "base64", column: str = "value") -> Flow:
-        if encoding != "base64":
-            raise ValueError(f"unknown encoding {encoding}")
-        return self._with(self.df.withColumn(column, text.from_base64(F.col(f"`{column}`"))))
+    def encode(self, encoding: str = "base64", column: str = "value", across: bool = False) -> Flow:
+        """Base64 of each row's text or bytes; across=True takes the rows as chunks of one string, cut anywhere, and keeps nothing but them."""
+        return self._base64(encoding, column, across, 3, text.to_base64)
+
+    def decode(self, encoding: str = "base64", column: str = "value", across: bool = False) -> Flow:
+        """The bytes of each row's base64, null for what is none; across=True takes the rows as chunks of one text, cut anywhere, without white space."""
+        return self._base64(encoding, column, across, 4, lambda c: text.from_base64(c.cast("string")))
 
     def csv(self, header: bool | list[str] | Callable = False, column: str = "value", width: int | None = None, quote: str = '"', escape: str = '"', separator: str = ",", encoding: str = "utf8", fast_mode: bool = False) -> Flow:
         """Rows of CSV text. header: True (the first row names the columns), names, or a function of the first row; False needs a width.

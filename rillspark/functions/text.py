@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,29 @@ def from_base64(column: Column) -> Column:
     return F.unbase64(F.when(good, F.rpad(bare, F.ceil(F.length(bare) / 4) * 4, F.lit("="))))
 
 
+def across_chunks(df: DataFrame, order: list[str], column: str, position: str, size: int, change: Callable[[Column], Column]) -> DataFrame:
+    """(position, column): `change` of groups of `size` bytes of chunks that are one string in order, wherever chunks end; positions are ascending.
+
+    A prefix sum of lengths tells where each chunk's groups begin. Whole groups of a chunk are changed where they are; bytes
+    of a group that lies in several chunks meet by the group's place.
+    """
+    chunk = F.col(f"`{column}`").cast("binary")
+    rows = with_sum(df.where(chunk.isNotNull()).withColumn("__b", chunk), order, F.length("__b"), "__at")
+    at, n = F.col("__at"), F.length("__b").cast("bigint")
+    head = F.least(F.pmod(-at, F.lit(size)), n)
+    body = F.floor((n - head) / size).cast("bigint") * size
+    cut = lambda start, length: F.substring("__b", (start + 1).cast("int"), length.cast("int"))
+    pieces = F.array(
+        F.struct((at - at % size).alias("p"), cut(F.lit(0), head).alias("b"), F.lit(False).alias("whole")),
+        F.struct((at + head).alias("p"), cut(head, body).alias("b"), F.lit(True).alias("whole")),
+        F.struct((at + head + body).alias("p"), cut(head + body, n - head - body).alias("b"), F.lit(False).alias("whole")),
+    )
+    each = rows.select(at.alias("at"), F.explode(F.filter(pieces, lambda x: F.length(x["b"]) > 0)).alias("x")).select("at", "x.*")
+    parts = F.array_sort(F.collect_list(F.struct("at", F.hex("b").alias("b"))))
+    seams = each.where("not whole").groupBy("p").agg(F.unhex(F.array_join(F.transform(parts, lambda x: x["b"]), "")).alias("b"))
+    return each.where("whole").select("p", "b").union(seams).select(F.col("p").alias(position), change(F.col("b")).alias(column))
+
+
 def charset(encoding: str) -> str:
     """The JVM's name of an encoding: utf8, utf16le, latin1 (binary) or ascii; other names pass."""
     return {"utf8": "UTF-8", "utf-8": "UTF-8", "utf16le": "UTF-16LE", "ucs2": "UTF-16LE", "latin1": "ISO-8859-1", "binary": "ISO-8859-1", "ascii": "US-ASCII"}.get(encoding.lower(), encoding)

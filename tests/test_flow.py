@@ -1,6 +1,7 @@
 """Flow operators on small inputs: what they give, their edge cases, and what they refuse."""
 
 import asyncio
+import base64
 import datetime
 import gzip
 import time
@@ -583,3 +584,17 @@ def test_stream_events_sinks_and_state(spark, tmp_path):
     finally:
         spark.streams.removeListener(events)
     assert said.count("start") == said.count("end") == 6 and said.count("error") == 1 and said.count("data") >= 6
+
+
+def test_base64_across_chunks(spark):
+    whole = "ciao, come va? é漢😀".encode()
+    for size in (1, 2, 4, 5, 100):
+        chunks = [whole[i : i + size] for i in range(0, len(whole), size)]
+        coded = "".join(r.value for r in chunk_flow(spark, chunks).encode(across=True).values())
+        assert coded == base64.b64encode(whole).decode()
+        back = flow(spark, [coded[i : i + size] for i in range(0, len(coded), size)], "value string").decode(across=True)
+        assert b"".join(bytes(r.value) for r in back.values()) == whole
+    assert b"".join(bytes(r.value) for r in flow(spark, ["Y2l", "hbyw"], "value string").decode(across=True).values()) == b"ciao,"
+    assert [r.value for r in flow(spark, ["Y2*h"], "value string").decode(across=True).values()] == [None]
+    with pytest.raises(ValueError, match="md5"):
+        flow(spark, ["a"], "value string").encode("md5")
