@@ -29,6 +29,13 @@ def _star(edges: DataFrame) -> DataFrame:
     return out
 
 
+def _done(edges: DataFrame) -> bool:
+    """Whether each node points at one root, and no root points at another."""
+    twice = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    chained = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a")
+    return twice.union(chained).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b: same ordered type); root is the least node of its component.
 
@@ -38,12 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     least = F.least("a", "b")
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), least.alias("b")).distinct(), "edges")
-    mark = None
-    while True:
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen[0] == 0 or seen == mark:
-            break
-        mark = seen
+    while not _done(now):
         after = _star(now)
         drop_cut(now)
         now = after

@@ -407,11 +407,11 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, n
 
     The pairs connect all texts that the pairs found connect; pairs within a group are left out. node is text_key(). Texts
     as similar as `similarity` share each of n_bytes positional bytes with that chance, so they tally `least` of 64 or more but
-    for 1 in 100,000, and meet in one of n_keys postings of key_bytes bytes but for 1 in 1,000 (README). A posting by
+    for 5 in 100,000, and meet in one of n_keys postings of key_bytes bytes but for 2 in 1,000 (README). A posting by
     five bytes holds N / 2**40 of N unrelated texts. Candidates are verified by their whole shingle sets, in rounds:
     first each text with the leading text that it shares most bytes with; then, of different groups left, each with its
     best in each posting; then all candidates between different groups that are left. From the second round on the
-    texts that are near any have fine_bytes positional bytes, of which candidates share `fine` (missed by 1 in 100,000 too).
+    texts that are near any have fine_bytes positional bytes, of which candidates share `fine` (but for 2 in 100,000).
     """
     schema, ddl = arrow_schema("node binary, print binary"), "a binary, b binary"
     pair = arrow_schema(ddl)

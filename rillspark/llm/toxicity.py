@@ -117,6 +117,12 @@ class Machine:
                 self.bias -= rate * g.mean() / np.sqrt(gb)
 
 
+def _bias(n1: int, n: int) -> float:
+    """The log odds of n1 toxic texts of n, next to ten that are as good as clean."""
+    share = (n1 + 0.5) / (n + 10)
+    return float(np.log(share / (1 - share)))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves 2 by 4; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -129,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     greatest counts, and each different text of an id is an example. Terms are counted on the executors, and the n_terms of
     most evidence (a likelihood ratio statistic) are selected, of those that reach `evidence`; by default twice the logarithm
     of the number of terms, which about one term reaches by chance however many there are. The driver gets the selected
-    terms of each example. Without examples every score is 0.5.
+    terms of each example. Without examples every score is 0.05.
     """
     label = picked(labels, its_id=id_col, y=label_col).where(F.col("y").isNotNull() & F.col("its_id").isNotNull() & ~held_out(F.col("its_id")))
     sample = label.groupBy("its_id").agg((F.max("y") > 0).cast("int").alias("y")).orderBy(F.xxhash64("its_id"), "its_id").limit(rows)
@@ -151,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     totals = examples.agg(F.sum("y"), F.count("*")).first()
     n1, n = totals[0] or 0, totals[1]
     if not n:
-        return Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)), 0.0)
+        return Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)), _bias(0, 0))
     sums = cut(map_arrow(examples.select("text", "y"), count, every).groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "terms")
     least = evidence if evidence is not None else 2 * math.log(max(2, sums.count()))
 
@@ -180,8 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = np.array([r[1] for r in data], float)
     rows_of = np.repeat(np.arange(len(data)), [len(r[2]) for r in data])
     ids = np.array([i for r in data for i in r[2]], np.int64)
-    prior = (n1 + 0.5) / (n + 1)
-    machine = Machine(hashes, np.zeros(len(hashes)), rng.normal(0, 0.02, (len(hashes), factors)), float(np.log(prior / (1 - prior))))
+    machine = Machine(hashes, np.zeros(len(hashes)), rng.normal(0, 0.02, (len(hashes), factors)), _bias(n1, n))
     machine.fit(rows_of, ids, y, epochs, rate, decay, seed)
     return machine
 

@@ -13,8 +13,13 @@ from rillspark.llm import mixing, simhash
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
 def jaccard(a, b):
-    a, b = simhash.shingle_set(a, 5), simhash.shingle_set(b, 5)
+    a, b = shingle_set(a), shingle_set(b)
     return len(a & b) / len(a | b)
 
 
@@ -43,7 +48,7 @@ def test_near_duplicate_groups_against_all_pairs(spark):
     want = set(root)
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], COLUMNS)
     got = {r.doc_id for r in simhash.one_of_each(df).collect()}
-    assert want <= got and len(got) - len(want) <= 0.1 * len(near), (len(want), len(got), len(near))
+    assert got == want and len(near) > 40, (len(want), len(got), len(near))
 
 
 def test_one_of_each_awkward(spark):
@@ -108,3 +113,12 @@ def test_whole_pipeline(spark, tmp_path):
     for r in kept["packing"]:
         pieces[r.sequence_id] += r.length
     assert max(pieces.values()) <= 1024 and all(n & (n - 1) == 0 for n in pieces.values())
+
+
+def test_pipeline_on_empty_tables_and_awkward_rows(spark, tmp_path):
+    for name, df in (("none", empty(spark)), ("odd", awkward(spark))):
+        df.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    rows = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()  # without labels nothing is known to be toxic
+    assert {r.doc_id for r in rows} >= {5, 7} and max(r.length for r in rows) <= 1024
