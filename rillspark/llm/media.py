@@ -199,7 +199,7 @@ def read_back(stored: Stored) -> DataFrame:
 
 
 def payloads(stored: Stored) -> DataFrame:
-    """(doc_id, payload binary): the media themselves, for payloads that fit a row."""
+    """(doc_id, payload binary): the media themselves, a row for each input row, for payloads that fit a row. Null and empty texts are 64 zero bytes; repeated rows and null ids stay."""
     listed = stored.recipes.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.posexplode("digests").alias("at", "digest"))
     ddl = "doc_id {}, payload binary".format(stored.recipes.schema["doc_id"].dataType.simpleString())
     schema = arrow_schema(ddl)

@@ -21,13 +21,15 @@ from pyspark.sql import types as T
 
 from rillspark.llm.common import cut, drop_cut, map_arrow, picked
 from rillspark.llm.quality import spans
+from rillspark.llm.words import parts
 
 #: First letters of longer words that are terms too, so that inflected and compound forms share one.
 STEMS = (4, 5)
 _EDGES = ".,;:!?\"'()[]{}<>|*_-«»“”„…¿¡"
 #: Bounds of what is fitted: labelled texts and selected terms.
 ROWS, TERMS = 20_000, 4096
-_KEPT = 200_000
+#: Characters of texts whose terms are held at once, and words whose terms a task keeps.
+PART, _KEPT = 1 << 20, 200_000
 
 
 def terms(word: str) -> list[int]:
@@ -45,20 +47,20 @@ def _coded(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
 
 
-def _pairs(texts: list[str | None], look) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(texts: list[str], look) -> tuple[np.ndarray, np.ndarray]:
     """The different (text, what look gives for one of its words), by text."""
     words, codes, doc = _coded(texts)
     found = [look(w) for w in words]
     lengths = np.fromiter(map(len, found), np.int64, len(found))
-    flat = np.array([x for f in found for x in f], np.int64)
+    values, flat = np.unique(np.array([x for f in found for x in f], np.int64), return_inverse=True)
     hit = lengths[codes] > 0
-    codes, doc = codes[hit], doc[hit]
-    key = np.unique(doc * max(1, len(found)) + codes)  # each word of a text once
+    key = np.unique(doc[hit] * max(1, len(found)) + codes[hit])  # each word of a text once
     doc, codes = np.divmod(key, max(1, len(found)))
     starts = spans(lengths[codes])
-    values = flat[np.arange(starts[-1]) - np.repeat(starts[:-1] - spans(lengths)[codes], lengths[codes])]
-    both = np.unique(np.stack([np.repeat(doc, lengths[codes]), values]), axis=1) if len(values) else np.zeros((2, 0), np.int64)
-    return both[0], both[1]
+    which = flat[np.arange(starts[-1]) - np.repeat(starts[:-1] - spans(lengths)[codes], lengths[codes])]
+    both = np.unique(np.repeat(doc, lengths[codes]) * max(1, len(values)) + which)
+    doc, which = np.divmod(both, max(1, len(values)))
+    return doc, values[which] if len(values) else which
 
 
 @dataclass
@@ -89,8 +91,11 @@ class Machine:
                     known[word] = found
             return found
 
-        rows, ids = _pairs(texts, look)
-        return 1 / (1 + np.exp(-np.clip(self.margin(rows, ids, len(texts))[0], -500, 500)))
+        made = []
+        for a, z in parts([t or "" for t in texts], PART):  # a bound on what is held of a batch
+            rows, ids = _pairs(texts[a:z], look)
+            made.append(self.margin(rows, ids, z - a)[0])
+        return 1 / (1 + np.exp(-np.clip(np.concatenate(made) if made else np.zeros(0), -500, 500)))
 
     def fit(self, rows: np.ndarray, ids: np.ndarray, y: np.ndarray, epochs: int, rate: float, decay: float, seed: int) -> None:
         """AdaGrad on the logistic loss; rows are in order, so a batch is a slice of the pairs."""
@@ -148,11 +153,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            y = b.column(1).to_numpy()
-            doc, term = _pairs(b.column(0).to_pylist(), terms)
-            found, which = np.unique(term, return_inverse=True)
-            n1 = np.bincount(which, y[doc], minlength=len(found)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n1), pa.array(np.bincount(which, minlength=len(found)) - n1)], schema=counted)
+            texts, labels = b.column(0).to_pylist(), b.column(1).to_numpy()
+            for at, end in parts(texts, PART):
+                y = labels[at:end]
+                doc, term = _pairs(texts[at:end], terms)
+                found, which = np.unique(term, return_inverse=True)
+                n1 = np.bincount(which, y[doc], minlength=len(found)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n1), pa.array(np.bincount(which, minlength=len(found)) - n1)], schema=counted)
 
     totals = examples.agg(F.sum("y"), F.count("*")).first()
     n1, n = totals[0] or 0, totals[1]
@@ -175,9 +182,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, term = _pairs(b.column(1).to_pylist(), lambda w: [i for t in terms(w) for i in known.get(t, ())])
-            ids = np.split(term, np.searchsorted(doc, np.arange(1, b.num_rows)))
-            yield pa.RecordBatch.from_arrays([pc.cast(b.column(0), pa.string()), b.column(2), pa.array([i.tolist() for i in ids], sent[2].type)], schema=sent)
+            texts, made = b.column(1).to_pylist(), []
+            for at, end in parts(texts, PART):
+                doc, term = _pairs(texts[at:end], lambda w: [i for t in terms(w) for i in known.get(t, ())])
+                made += np.split(term, np.searchsorted(doc, np.arange(1, end - at)))
+            yield pa.RecordBatch.from_arrays([pc.cast(b.column(0), pa.string()), b.column(2), pa.array([i.tolist() for i in made], sent[2].type)], schema=sent)
 
     # in order of id and then content, so that fits agree whatever the partitions
     data = sorted((r.doc_id, r.y, r.ids) for r in map_arrow(examples, select, kept).collect())

@@ -27,12 +27,12 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def parts(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Slices of texts of about PART_CHARS characters."""
+def parts(texts: list[str], most: int = PART_CHARS) -> Iterator[tuple[int, int]]:
+    """Slices of texts of about `most` characters."""
     a = size = 0
     for z, t in enumerate(texts, 1):
         size += len(t)
-        if size >= PART_CHARS or z == len(texts):
+        if size >= most or z == len(texts):
             yield a, z
             a, size = z, 0
 
