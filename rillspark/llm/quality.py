@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,7 @@ from rillspark.llm.vocab import vocabulary
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = "\t\n\x0b\x0c\r "
+_SPACE = re.compile(r"\s")
 WINDOW = 8
 #: Bytes of texts worked on at once, and different words whose pieces a worker keeps.
 PART_BYTES, KEPT = 1 << 20, 200_000
@@ -85,8 +87,8 @@ class Pieces:
 class Counts:
     """How many tokens a byte-level vocabulary makes of each word after a space; the ranks are lines of base64 and number."""
 
-    #: Characters of a word that are encoded together; longer ones are cut.
-    CUT = 256
+    #: Characters of a word that are encoded together, longer ones are cut; and words that one string holds.
+    CUT, JOINED = 256, 400
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -95,14 +97,32 @@ class Counts:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("many", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.lengths[list(ranks.values())] = [len(b) for b in ranks]
         self.known: dict[str, int] = {}
 
+    def alone(self, word: str) -> int:
+        return sum(len(self.encoding.encode_ordinary(p)) for p in [" " + word[: self.CUT], *(word[a : a + self.CUT] for a in range(self.CUT, len(word), self.CUT))])
+
+    def together(self, words: list[str]) -> list[int]:
+        """Words are split apart before every space, so many are encoded as one string and counted by their bytes."""
+        out: list[int] = []
+        for i in range(0, len(words), self.JOINED):
+            pieces = [" " + w for w in words[i : i + self.JOINED]]
+            ends = np.cumsum(self.lengths[self.encoding.encode_ordinary("".join(pieces))])
+            at = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in pieces])) + 1
+            out += np.diff(at, prepend=0).tolist()
+        return out
+
     def __call__(self, words: list[str]) -> np.ndarray:
         found = list(map(self.known.get, words))
         new = [i for i, x in enumerate(found) if x is None]
-        parts = [[" " + w[: self.CUT], *(w[a : a + self.CUT] for a in range(self.CUT, len(w), self.CUT))] for w in (words[i] for i in new)]
-        for i, own in zip(new, parts):
-            found[i] = sum(len(self.encoding.encode_ordinary(p)) for p in own)
+        plain = [i for i in new if len(words[i]) <= self.CUT and not _SPACE.search(words[i])]
+        for i, n in zip(plain, self.together([words[i] for i in plain])):
+            found[i] = n
+        for i in new:
+            if found[i] is None:
+                found[i] = self.alone(words[i])
             if len(self.known) < KEPT and len(words[i]) < 64:
                 self.known[words[i]] = found[i]
         return np.array(found, np.int64)

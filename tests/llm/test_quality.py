@@ -112,3 +112,13 @@ def test_measured_bands(spark):
 def test_very_long_words(spark):
     rows = [(1, "x" * 300_000 + " " + "漢" * 50_000, None), (2, "é" * 1000, None)]
     assert [r.kept for r in quality.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()] == [False, False]
+
+
+def test_counts_of_words_together_are_those_of_each_alone():
+    rng = random.Random(9)
+    letters = [*"abé漢'sS1.,-#$😀ß", "\u3000", "\xa0", "the", "'ll", "\x85"]
+    words = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(4000)} | {"x" * 1000})
+    encoding = many()
+    counts = quality.Counts(vocabulary("byte_bpe_multi_50k.tiktoken"))
+    want = [len(encoding.encode_ordinary(" " + w)) if len(w) < 256 else counts.alone(w) for w in words]
+    assert counts(words).tolist() == want and counts(words).tolist() == want
