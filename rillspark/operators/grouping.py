@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import bisect
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,23 +119,36 @@ def until(df: DataFrame, condition: Column, order: list[str], inclusive: bool =
 def spaced(df: DataFrame, by: list[str], time: str, order: list[str], seconds: float) -> DataFrame:
     """Leading-edge sampling by event time: a row stays if `seconds` or more have gone since the last that stayed, in each group.
 
-    The recurrence looks back at what it kept, so it is a fold over a group's times; rows that stay are named by their keys.
+    Each row hangs on what stayed before it, so a group's rows pass in order through one task, which holds a batch of them
+    and the time of the last that stayed, and jumps from one that stays to the next. Rows without a time stay.
     """
-    micros = F.unix_micros(F.col(time).cast("timestamp"))
-    values = F.array_sort(F.collect_list(F.struct(micros.alias("t"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(order)))))
-    key_type = "struct<" + ",".join(f"k{i}:{df.schema[c].dataType.simpleString()}" for i, c in enumerate(order)) + ">"
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast(f"array<{key_type}>").alias("kept"))
-
-    def step(a: Column, r: Column) -> Column:
-        keep = a["last"].isNull() | (r["t"] - a["last"] >= int(seconds * 1e6))
-        keys = F.struct(*(r[f"k{i}"].alias(f"k{i}") for i in range(len(order))))
-        return F.struct(F.when(keep, r["t"]).otherwise(a["last"]).alias("last"), F.when(keep, F.array_append(a["kept"], keys)).otherwise(a["kept"]).alias("kept"))
-
-    kept = df.groupBy(*by).agg(F.aggregate(values, start, step)["kept"].alias("k")).select(F.explode("k").alias("k"))
-    names = [f"__o{i}" for i in range(len(order))]
-    kept = kept.select(*(F.col(f"k.k{i}").alias(n) for i, n in enumerate(names)))
-    match = [F.col(f"`{c}`").eqNullSafe(F.col(n)) for c, n in zip(order, names)]
-    return df.join(kept, match, "left_semi")
+    micros = F.unix_micros(F.col(f"`{time}`").cast("timestamp"))
+    key = F.to_json(F.struct(*(F.col(f"`{c}`") for c in by)), {"ignoreNullFields": "false"}) if by else F.lit("")
+    rows = df.withColumns({"__t": micros, "__k": key}).repartition("__k").sortWithinPartitions("__k", "__t", *sort_columns(order))
+    least = int(seconds * 1e6)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last = None, None
+        for b in batches:
+            keys = b.column(b.num_columns - 1).to_pylist()
+            timed = b.column(b.num_columns - 2)
+            kept = np.asarray(timed.is_null()).copy()
+            at = 0
+            while at < len(keys):
+                end = bisect.bisect_right(keys, keys[at], at)
+                if keys[at] != group:
+                    group, last = keys[at], None
+                own = np.nonzero(~kept[at:end])[0] + at
+                times = timed.take(pa.array(own)).to_numpy(zero_copy_only=False) if len(own) else own
+                i = 0 if last is None else int(np.searchsorted(times, last + least))
+                while i < len(own):
+                    kept[own[i]] = True
+                    last = int(times[i])
+                    i = max(i + 1, int(np.searchsorted(times, last + least)))
+                at = end
+            yield pa.RecordBatch.from_arrays(b.columns[:-2], names=b.schema.names[:-2]).filter(pa.array(kept))
+
+    return rows.mapInArrow(run, df.schema)
 
 
 def release_slots(df: DataFrame, order: list[str], num: int, ms: int, name: str = "release_ms") -> DataFrame:

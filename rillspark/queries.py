@@ -13,7 +13,7 @@ from rillspark.functions.text import parse_csv
 from rillspark.plans.pipeline import pipeline
 from rillspark.plans.places import new_path
 from rillspark.sources.build import END, read_bytes, read_lines, recursive_frame
-from rillspark.streaming import run_available, stream_of, throttle_stream, uniq_stream, windows
+from rillspark.streaming import PushedStream, run_available, stream_of, throttle_stream, uniq_stream, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -691,3 +691,14 @@ def stream_throttle(spark, d):
     return run_available(throttle_stream(rows, ["user_id"], "ts", 86_400), new_path(spark, "stream")).select("event_id", "user_id")
 
 
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def stream_pushed(spark, d):
+    place = new_path(spark, "stream")
+    pushed = PushedStream(spark, "n_nationkey int, n_name string", place)
+    rows = [(r.n_nationkey, r.n_name) for r in _nations(spark, d).values()]
+    pushed.write(*rows[:10])
+    run_available(pushed.frame(), place)
+    pushed.write(*({"n_name": n, "n_nationkey": k} for k, n in rows[10:])).end()
+    return run_available(pushed.frame(), place)  # goes on from its checkpoint

@@ -24,6 +24,27 @@ def stream_of(spark: SparkSession, path: str, schema: T.StructType | str, format
     return out.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if time else out
 
 
+class PushedStream:
+    """A stream that is pushed into: each write() is a file of rows below `place`, a shared folder; frame() streams them; after end() writing is refused."""
+
+    def __init__(self, spark: SparkSession, schema: str, place: str):
+        self._spark, self._schema, self._place, self._ended = spark, T.StructType.fromDDL(schema), f"{place}/pushed", False
+        spark.createDataFrame([], self._schema).write.mode("ignore").parquet(self._place)
+
+    def write(self, *rows: Any) -> PushedStream:
+        if self._ended:
+            raise ValueError("write after end")
+        records = [tuple(r.get(n) for n in self._schema.names) if isinstance(r, dict) else r if isinstance(r, (tuple, list)) else (r,) for r in rows]
+        self._spark.createDataFrame(records, self._schema).coalesce(1).write.mode("append").parquet(self._place)
+        return self
+
+    def end(self) -> None:
+        self._ended = True
+
+    def frame(self, files: int | None = None, time: str | None = None, late: str = "0 seconds") -> DataFrame:
+        return stream_of(self._spark, self._place, self._schema, files=files, time=time, late=late)
+
+
 def run_available(df: DataFrame, place: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there now into Parquet files below `place`, a shared folder of its own, and read them.
 

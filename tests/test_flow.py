@@ -4,6 +4,7 @@ import asyncio
 import base64
 import datetime
 import gzip
+import random
 import time
 
 import pytest
@@ -14,7 +15,7 @@ from rillspark.functions import values
 from rillspark.operators import outcomes
 from rillspark.plans.index import ranged
 from rillspark.sources import END, read_bytes, read_lines
-from rillspark.streaming import Events, fan_out, limited, run_available, stream_of, throttle_stream, write_available
+from rillspark.streaming import Events, PushedStream, fan_out, limited, run_available, stream_of, throttle_stream, write_available
 
 
 def vals(f, column="value"):
@@ -598,3 +599,29 @@ def test_base64_across_chunks(spark):
     assert [r.value for r in flow(spark, ["Y2*h"], "value string").decode(across=True).values()] == [None]
     with pytest.raises(ValueError, match="md5"):
         flow(spark, ["a"], "value string").encode("md5")
+
+
+def test_pushed_stream(spark, tmp_path):
+    pushed = PushedStream(spark, "n long", str(tmp_path))
+    assert run_available(pushed.frame(), f"{tmp_path}/a").count() == 0
+    pushed.write(1, 2).write({"n": 3})
+    assert sorted(r.n for r in run_available(pushed.frame(), f"{tmp_path}/a").collect()) == [1, 2, 3]
+    pushed.end()
+    with pytest.raises(ValueError, match="after end"):
+        pushed.write(4)
+
+
+def test_throttle_against_a_loop(spark):
+    rng = random.Random(2)
+    t0 = datetime.datetime(2024, 1, 1)
+    rows = [(i, rng.choice(["a", "b", None, "é"]), t0 + datetime.timedelta(milliseconds=rng.randint(0, 20_000))) for i in range(12_000)] + [(-1, "a", None)]
+    f = Flow(spark.createDataFrame(rows, "i int, g string, t timestamp_ntz").repartition(5), "i")
+    for by in (["g"], []):
+        last, want = {}, {-1}
+        for i, g, t in sorted((r for r in rows if r[2]), key=lambda r: (r[2], r[0])):
+            k = g if by else 0
+            if k not in last or t - last[k] >= datetime.timedelta(milliseconds=40):
+                last[k] = t
+                want.add(i)
+        kept = f.throttle(40, "t", by=by or None)
+        assert {r.i for r in kept.df.collect()} == want and kept.df.columns == ["i", "g", "t"]
