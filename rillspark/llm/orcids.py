@@ -119,8 +119,9 @@ def documents_of(rows: DataFrame) -> DataFrame:
                 crcs.append(crc)
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(crcs, pa.int64())], schema=final_schema)
 
-    joined = map_arrow(whole.select("shard", "doc_at", "doc_id", "n_tokens", "parts"), join, final)
+    several = map_arrow(whole.where(F.size("parts") > 1).select("shard", "doc_at", "doc_id", "n_tokens", "parts"), join, final)
+    single = whole.where(F.size("parts") == 1).select("shard", "doc_at", "doc_id", "n_tokens", F.col("parts")[0]["crc"].alias("ids_crc32"))
     each = rows.select("shard", "n_tokens").groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = each.select("shard", before.alias("shard_at"))
-    return joined.join(offsets, "shard").select("doc_id", (F.col("doc_at") + F.col("shard_at")).alias("start"), "n_tokens", "ids_crc32")
+    return single.union(several).join(offsets, "shard").select("doc_id", (F.col("doc_at") + F.col("shard_at")).alias("start"), "n_tokens", "ids_crc32")
