@@ -162,6 +162,8 @@ def format_turns(rows: DataFrame, template: Template | None = None, id_col: str
 def conversations(turns: DataFrame, template: Template | None = None) -> DataFrame:
     """(conv_id, turns_in_error, end_state, valid) of format_turns()'s rows: one small row a task and conversation is composed.
 
+    Rows of a null id are one conversation; equal turns are turns each; no rows give no conversations.
+
     valid: no turn is in error and the last state is one of the template's ends. Needs turns to be stored: it is a second
     read of the same rows.
     """

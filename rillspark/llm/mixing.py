@@ -137,7 +137,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block_words: int = 16, shards: int = 64, seed: int = 7) -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each time that a document is taken. Ids that tie keep apart by size.
+    """The mix itself, with the columns of docs: a row for each time that a document is taken.
+
+    Null and empty texts have no words, so they have no row. Ids that tie go by size; rows equal in both go in any order, which
+    changes no count. Null sources are one source; an empty table gives an empty result.
 
     A document taken whole keeps its text; where its source's blocks end within it, a row has its first words alone, with
     the white space before each, and chars_col, if it is a column, follows. Documents of which nothing is taken have no row.

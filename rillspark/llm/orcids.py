@@ -11,8 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillspark.llm.common import arrow_schema, map_arrow, picked, shuffle_cleanup
-from rillspark.llm.vocab import encoder, vocabulary
+from rillspark.llm.common import arrow_schema, gathered, map_arrow, picked, shuffle_cleanup
+from rillspark.llm.vocab import TOGETHER, encoder, vocabulary
 
 #: Ids of one row at most, so that a very long document is several rows and writers and readers hold little.
 PIECE_IDS = 1 << 16
@@ -34,7 +34,7 @@ def write_ids(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, shard, at = encoder(path, specials), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in gathered(batches, TOGETHER):
             cols: list[list] = [[] for _ in range(6)]
             data = []
             for doc_id, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
@@ -111,17 +111,16 @@ def documents_of(rows: DataFrame) -> DataFrame:
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            crcs = []
-            for parts in b.column(4).to_pylist():
-                crc = parts[0]["crc"]
-                for p in parts[1:]:
-                    crc = _joined_crc(crc, p["crc"], p["n_tokens"] * 4)
-                crcs.append(crc)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(crcs, pa.int64())], schema=final_schema)
-
-    several = map_arrow(whole.where(F.size("parts") > 1).select("shard", "doc_at", "doc_id", "n_tokens", "parts"), join, final)
-    single = whole.where(F.size("parts") == 1).select("shard", "doc_at", "doc_id", "n_tokens", F.col("parts")[0]["crc"].alias("ids_crc32"))
+            parts = b.column(4)
+            at, (n, crc) = parts.offsets.to_numpy(), (parts.values.field(i).to_numpy() for i in (1, 2))
+            out = crc[at[:-1]].copy()
+            for i in np.nonzero(np.diff(at) > 1)[0]:
+                for j in range(at[i] + 1, at[i + 1]):
+                    out[i] = _joined_crc(int(out[i]), int(crc[j]), int(n[j]) * 4)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out)], schema=final_schema)
+
+    joined = map_arrow(whole.select("shard", "doc_at", "doc_id", "n_tokens", "parts"), join, final)
     each = rows.select("shard", "n_tokens").groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = each.select("shard", before.alias("shard_at"))
-    return single.union(several).join(offsets, "shard").select("doc_id", (F.col("doc_at") + F.col("shard_at")).alias("start"), "n_tokens", "ids_crc32")
+    return joined.join(offsets, "shard").select("doc_id", (F.col("doc_at") + F.col("shard_at")).alias("start"), "n_tokens", "ids_crc32")

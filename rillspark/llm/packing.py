@@ -12,8 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from rillspark.llm.common import arrow_schema, map_arrow, picked
-from rillspark.llm.vocab import encoder, vocabulary
+from rillspark.llm.common import arrow_schema, gathered, map_arrow, picked
+from rillspark.llm.vocab import TOGETHER, encoder, vocabulary
 
 #: Tokens that a task holds before it packs them. What is left of a round goes into the next.
 HELD_TOKENS = 4 << 20
@@ -161,7 +161,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             for doc in [d for d in held if d not in waiting]:
                 del held[doc]
 
-        for batch in batches:
+        for batch in gathered(batches, TOGETHER):
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                 ids += end
                 held[row] = doc_id, ids, len(ids) // 4

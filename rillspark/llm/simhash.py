@@ -405,6 +405,8 @@ def _candidates(prints: DataFrame, choices: list[tuple[int, ...]], n_bytes: int,
 def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, n_bytes: int = 64, key_bytes: int = 5, n_keys: int = 20, least: int = 38, fine_bytes: int = 512, fine: int = 371) -> DataFrame:
     """(a, b): pairs of different texts of which at least `similarity` of the word shingles are shared (Jaccard); texts (node, text).
 
+    Words lose A-Z; fewer than `shingle` words are one shingle. Null texts count as empty; two texts without a word are similar.
+    Repeated rows of a node count once; an empty table gives no pairs.
     The pairs connect all texts that the pairs found connect; pairs within a group are left out. node is text_key(). Texts
     as similar as `similarity` share each of n_bytes positional bytes with that chance, so they tally `least` of 64 or more but
     for 5 in 100,000, and meet in one of n_keys postings of key_bytes bytes but for 2 in 1,000 (README). A posting by

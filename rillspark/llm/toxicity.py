@@ -219,6 +219,6 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", name: str =
 
 
 def without_toxic(docs: DataFrame, machine: Machine, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose score is below `least`, with the columns of docs."""
+    """The rows of docs whose score is below `least`, with the columns of docs. Null texts score as empty ones; repeated rows and null ids stay or go as their texts do."""
     name = next(n for n in (f"__score{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
     return score(docs, machine, text_col, name).where(F.col(name) < least).drop(name)

@@ -15,12 +15,18 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Unicode white space but for the space and the line feed, as the split sees it.
 _OTHER = "\t\x0b\x0c\r\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 _RUNS = re.compile(f"([ \n{_OTHER}]+)")
+#: Bytes of texts that are worth encoding together: the more, the fewer words are new.
+TOGETHER = 16 << 20
+#: What stands before the first word of a text while it is cut; texts that hold it are cut otherwise.
+MARK = "\x01"
 #: Words kept for each of the two positions, after a space and elsewhere.
 KEPT = 300_000
 #: Words that one string given to the library holds.
@@ -87,6 +93,7 @@ class Encoder:
         self.lengths = np.array([len(self.tokenizer.id_to_token(i)) for i in range(size)])  # a letter for each byte
         self.feed = self.piece("\n")
         self.body, self.head = _Words(self, " "), _Words(self, "\n")
+        self.pieces: dict[str, bytes] = {}  # of plain texts; see _bulk()
 
     def piece(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -117,9 +124,7 @@ class Encoder:
                 out.append(self.piece(run[-1]))
             (self.body if run[-1] == " " else self.head).look([word], out)
 
-    def _text(self, text: str | None, out: list) -> None:
-        if not text:
-            return
+    def _text(self, text: str, out: list) -> None:
         if not _plain(text):
             self._runs(text, out)
             return
@@ -133,22 +138,57 @@ class Encoder:
             if len(words) > 1:
                 self.body.look(words[1:], out)
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+    def _odd(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that hold added tokens, or white space other than single spaces and line feeds between words."""
         out, ends = [], [0]
         for text in texts:
-            if text and any(s in text for s in self.added):
-                for part in self.at_added.split(text):
-                    if part in self.added:
-                        out.append(self.added[part])
-                    else:
-                        self._text(part, out)
-            else:
-                self._text(text, out)
+            for part in self.at_added.split(text) if any(s in text for s in self.added) else [text]:
+                if part in self.added:
+                    out.append(self.added[part])
+                elif part:
+                    self._text(part, out)
             ends.append(len(out))
         self.head.settle(out)
         self.body.settle(out)
         return [b"".join(out[a:z]) for a, z in zip(ends, ends[1:])]
 
+    def _bulk(self, texts: list[str]) -> list[bytes]:
+        """The ids of plain texts. They are cut at spaces; a word that begins a line keeps its line feed, one that begins a text is marked.
+
+        So each different piece of a batch has ids of its own, which are looked up once and gathered by its number.
+        """
+        marked = pc.replace_substring(pa.array([MARK + t for t in texts], pa.large_string()), "\n", " \n")
+        lists = pc.split_pattern(marked, " ")
+        coded = lists.values.dictionary_encode()
+        different, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        found = list(map(self.pieces.get, different))
+        new = [i for i, x in enumerate(found) if x is None]
+        for before, prefix in ((" ", b""), ("\n", self.feed), (MARK, b"")):
+            own = [i for i in new if different[i][0] == before] if before != " " else [i for i in new if different[i][0] not in "\n" + MARK]
+            words = [different[i][before != " " :] for i in own]
+            for i, ids in zip(own, self.encode_words(words, " " if before == " " else "\n") if own else ()):
+                found[i] = prefix + ids
+                if len(self.pieces) < KEPT and len(different[i]) < 64:
+                    self.pieces[different[i]] = found[i]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(lengths) - lengths
+        sizes = lengths[codes]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        data = flat[np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], sizes)].tobytes()
+        cuts = (ends[lists.offsets.to_numpy()] * 4).tolist()
+        return [data[a:z] for a, z in zip(cuts, cuts[1:])]
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        out = [b""] * len(texts)
+        plain, odd = [], []
+        for i, t in enumerate(texts):
+            if t:
+                (plain if _plain(t) and MARK not in t and not any(s in t for s in self.added) else odd).append(i)
+        for some, encode in ((plain, self._bulk), (odd, self._odd)):
+            for i, ids in zip(some, encode([texts[i] for i in some]) if some else ()):
+                out[i] = ids
+        return out
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, specials: bool = True) -> Encoder:
