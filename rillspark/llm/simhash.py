@@ -30,6 +30,8 @@ WIDE = 256
 FEW = 16
 #: Most tallies held at once between the rows of a large posting.
 CELLS = 1 << 18
+#: Rows of a posting that are led at once; of more, only those that lead are kept for the rest.
+HELD = 1 << 16
 
 
 # SimHash of whole texts
@@ -384,6 +386,9 @@ def _candidates(prints: DataFrame, choices: list[tuple[int, ...]], n_bytes: int,
                 cols = [batch.column(1).take(pa.array(v)) for v in (i, j)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(_tally(prints, i, j).astype(np.int32))], schema=pair)
 
+        def whole(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+            return pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+
         for b in batches:
             if not b.num_rows:
                 continue
@@ -391,11 +396,20 @@ def _candidates(prints: DataFrame, choices: list[tuple[int, ...]], n_bytes: int,
             new = np.nonzero(route != route[-1])[0]
             done = int(new[-1]) + 1 if len(new) else 0
             if done or held and held[0].column(0)[0].as_py() != route[0]:
-                yield from met(pa.Table.from_batches([*held, b.slice(0, done)]).combine_chunks().to_batches()[0])
+                yield from met(whole([*held, b.slice(0, done)]))
                 held = []
             held.append(b.slice(done))
+            if not rooted and sum(h.num_rows for h in held) >= HELD:
+                some = whole(held)
+                own = _fixed(some.column(2), width)
+                lead, _ = _led(own, least)
+                leads, y = np.unique(lead), np.nonzero(lead != np.arange(len(lead)))[0]
+                # those that lead come as pairs with themselves: what is near them may have gone by, or be near one that has
+                cols = [some.column(1).take(pa.array(np.concatenate((v, leads)))) for v in (lead[y], y)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(_tally(own, np.concatenate((lead[y], leads)), np.concatenate((y, leads))).astype(np.int32))], schema=pair)
+                held = [some.take(pa.array(leads))]
         if held:
-            yield from met(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            yield from met(whole(held))
 
     rows = map_arrow(prints.select("node", "print", *(["root"] if rooted else [])), index, ddl)
     order = ("route", "root", "node") if rooted else ("route", "node")

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from tests.llm.helpers import SF, awkward, empty
 
-from rillspark.llm import contracts, simhash
+from rillspark.llm import common, contracts, simhash
 from rillspark.llm.graph import components
 
 
@@ -131,6 +131,28 @@ def test_a_star_of_edited_copies_is_one_group(spark):
     assert sorted(r.doc_id for r in left.collect()) == np.unique(groups_of(texts)).tolist() == [0]
 
 
+def test_long_postings_keep_those_that_lead():
+    """A posting that is led in steps, as far as its nodes are near any and the rest go on to, against one that is led at once."""
+    texts = star(120, seed=9)
+    prints = simhash.samples(texts, 64, 5)
+    lead, _ = simhash._led(prints, 38)
+    assert (simhash._tally(prints, lead, np.arange(len(lead))) >= 38).all()
+    leads = np.unique(lead)
+    assert (simhash._tally(prints, leads[:, None], leads[None, :]) < 38)[~np.eye(len(leads), dtype=bool)].all()
+
+
+def test_postings_led_in_steps(spark, monkeypatch):
+    texts = star(200, seed=12)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    held = simhash.HELD
+    monkeypatch.setattr(simhash, "HELD", 24)
+    conf = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(common, "BATCH_ROWS", 10)
+    left = sorted(r.doc_id for r in simhash.one_of_each(df).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", conf)
+    assert held > 24 and left == np.unique(groups_of(texts)).tolist() == [0]
+
+
 def test_whole_table_against_brute_force(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     left = simhash.one_of_each(spark.read.parquet(f"{SF}/documents.parquet"))
