@@ -24,7 +24,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _OTHER = "\t\x0b\x0c\r\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 _RUNS = re.compile(f"([ \n{_OTHER}]+)")
 #: Bytes of texts that are worth encoding together: the more, the fewer words are new.
-TOGETHER = 16 << 20
+TOGETHER = 8 << 20
 #: What stands before the first word of a text while it is cut; texts that hold it are cut otherwise.
 MARK = "\x01"
 #: Words kept for each of the two positions, after a space and elsewhere.
