@@ -175,7 +175,7 @@ def edited(seed, n, share):
     return out
 
 
-@pytest.mark.parametrize(("key_bytes", "posting"), [(5, 1), (2, 1), (1, 10), (1, 80)])
+@pytest.mark.parametrize(("key_bytes", "posting"), [(5, 1), (2, 1), (1, 10), (1, 100)])
 def test_recall_at_growing_postings(spark, key_bytes, posting):
     """Pairs at a similarity of 0.8 are candidates however many unrelated texts share their postings, and nothing unrelated is."""
     pairs = edited(7, 150, 0.8)
@@ -189,6 +189,18 @@ def test_recall_at_growing_postings(spark, key_bytes, posting):
     assert len(got & true) >= 147 and not any(a < 300 <= b or a >= 300 for a, b in got)
 
 
+def test_no_pair_of_a_posting_is_lost_among_a_thousand_others(spark):
+    pairs = edited(17, 150, 0.8)
+    prints = simhash.samples([t for p in pairs for t in p], 64, 5)
+    noise = np.random.default_rng(4).integers(0, 256, (64 * 1000, 64), np.uint8)
+    every = np.concatenate((prints, noise))
+    every[:, 0] %= 64
+    df = spark.createDataFrame([(i.to_bytes(16, "big"), p.tobytes()) for i, p in enumerate(every)], "node binary, print binary")
+    got = {tuple(sorted(int.from_bytes(x, "big") for x in r[:2])) for r in simhash._candidates(df, [(0,)], 64, 38).select("a", "b").where("a <> b").collect()}
+    a, b = every[:300:2], every[1:300:2]
+    assert got == {(2 * i, 2 * i + 1) for i in range(150) if a[i, 0] == b[i, 0] and (a[i] == b[i]).sum() >= 38} and len(got) > 100
+
+
 def test_samples_share_bytes_by_similarity():
     for share in (0.8, 0.9):
         pairs = edited(11, 60, share)
