@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 from rillspark.llm.common import arrow_schema, gathered, map_arrow, picked
 from rillspark.llm.vocab import TOGETHER, encoder, vocabulary

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from rillspark.llm.common import arrow_schema, cut, drop_cut, map_arrow, picked
 from rillspark.llm.graph import components
-from rillspark.llm.words import mixed, parts, shingles
+from rillspark.llm.words import parts, shingles
 
 #: Fewest fingerprints of a posting that are compared by flipped bits instead of one another.
 WIDE = 256
