@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rillspark.functions import text, values
 from rillspark.operators import grouping, joins, outcomes
 from rillspark.plans.index import Down, sort_columns, with_index
-from rillspark.plans.pipeline import Pipeline, pipeline
+from rillspark.plans.pipeline import Pipeline
 from rillspark.sources.build import POSITION, frame_of
 from rillspark.streaming import tasks
 
