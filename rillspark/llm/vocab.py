@@ -25,6 +25,8 @@ _OTHER = "\t\x0b\x0c\r\x85\xa0     　" + "".join(map(chr, range(0x200
 _RUNS = re.compile(f"([ \n{_OTHER}]+)")
 #: Bytes of texts that are worth encoding together: the more, the fewer words are new.
 TOGETHER = 8 << 20
+#: Words whose ids are gathered at once.
+GATHERED = 1 << 16
 #: What stands before the first word of a text while it is cut; texts that hold it are cut otherwise.
 MARK = "\x01"
 #: Words kept for each of the two positions, after a space and elsewhere.
@@ -172,11 +174,19 @@ class Encoder:
                     self.pieces[different[i]] = found[i]
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(lengths) - lengths
-        sizes = lengths[codes]
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        data = flat[np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], sizes)].tobytes()
-        cuts = (ends[lists.offsets.to_numpy()] * 4).tolist()
-        return [data[a:z] for a, z in zip(cuts, cuts[1:])]
+        at, out = lists.offsets.to_numpy(), []
+        del marked, lists, coded, different, found
+        a = 0
+        while a < len(texts):  # gathered a part at a time, which bounds what is held
+            z = max(a + 1, int(np.searchsorted(at, at[a] + GATHERED, side="right")) - 1)
+            own = codes[at[a] : at[z]]
+            sizes = lengths[own]
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            data = flat[np.arange(ends[-1]) + np.repeat(starts[own] - ends[:-1], sizes)].tobytes()
+            cuts = (ends[at[a : z + 1] - at[a]] * 4).tolist()
+            out += [data[i:j] for i, j in zip(cuts, cuts[1:])]
+            a = z
+        return out
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out = [b""] * len(texts)
