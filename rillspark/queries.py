@@ -393,10 +393,12 @@ def base64_roundtrip(spark, d):
 @query("SELECT md5(to_base64(encode(string_agg(text, '' ORDER BY doc_id)))) AS encoded, md5(string_agg(text, '' ORDER BY doc_id)) AS decoded FROM documents")
 def base64_chunks(spark, d):
     """All texts as one string whose chunks end anywhere, encoded, cut anew and decoded."""
-    f = table(spark, d, "documents", ["doc_id"]).pick(["text"]).encode(column="text", across=True)
+    texts = table(spark, d, "documents", ["doc_id"]).pick(["text"])
+    f = texts.encode(column="text", across=True)
     cuts = F.transform(F.array(F.lit(0), F.lit(1)), lambda i: F.when(i == 0, F.substring("text", 1, 7)).otherwise(F.substring("text", 8, 1 << 30)))
-    back = Flow(f.df.select("_pos", F.posexplode(cuts).alias("k", "text")), ["_pos", "k"]).decode(column="text", across=True)
-    one = lambda x, name: x.join_chunks("text").df.select(F.md5("text").alias(name))
+    back = Flow(f.df.select(*f.order, F.posexplode(cuts).alias("k", "text")), [*f.order, "k"]).decode(column="text", across=True)
+    some = texts.df.where("text IS NOT NULL").limit(1).agg((F.count("*") > 0).alias("some"))  # no text at all has no digest
+    one = lambda x, name: x.digest("text").df.crossJoin(F.broadcast(some)).select(F.when(F.col("some"), F.col("text")).alias(name))
     return one(f, "encoded").crossJoin(F.broadcast(one(back, "decoded")))  # one row each
 
 

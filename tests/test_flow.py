@@ -4,16 +4,19 @@ import asyncio
 import base64
 import datetime
 import gzip
+import hashlib
+import itertools
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rillspark import Flow, Writer, extend, flow, fn, is_flow, is_pipeline, pipeline
-from rillspark.functions import values
+from rillspark.functions import text, values
 from rillspark.operators import outcomes
-from rillspark.plans.index import ranged
+from rillspark.plans.index import Down, ranged
 from rillspark.sources import END, read_bytes, read_lines
 from rillspark.streaming import Events, PushedStream, fan_out, limited, run_available, stream_of, throttle_stream, write_available
 
@@ -601,6 +604,46 @@ def test_base64_across_chunks(spark):
         flow(spark, ["a"], "value string").encode("md5")
 
 
+def test_chunks_of_many_ranges_against_the_whole(spark):
+    rng = random.Random(7)
+    for longest in (2, 9):
+        chunks = [rng.randbytes(rng.randint(0, longest)) for _ in range(700)]
+        rows = [(i, None if i == 5 else c) for i, c in enumerate(chunks)]
+        whole = b"".join(c for _, c in rows if c)
+        f = Flow(spark.createDataFrame(rows, "i int, value binary").repartition(5), "i")
+        coded = f.encode(across=True)
+        text = base64.b64encode(whole)
+        assert "".join(r.value for r in coded.values()).encode() == text
+        cut = [text[a:b] for a, b in itertools.pairwise([0, *sorted(rng.randint(0, len(text)) for _ in range(900)), len(text)])]
+        back = Flow(spark.createDataFrame(list(enumerate(cut)), "i int, value binary").repartition(3), "i").decode(across=True)
+        again = coded.decode(across=True)
+        assert b"".join(bytes(r.value) for r in back.values()) == b"".join(bytes(r.value) for r in again.values()) == whole
+        for g, want in ((f, whole), (coded, text), (back, whole), (again, whole)):
+            assert [r.value for r in g.digest().values()] == [hashlib.md5(want).hexdigest()]
+    down = Flow(f.df, [Down("i")])
+    assert down.digest(algorithm="sha256").df.first().value == hashlib.sha256(b"".join(c for _, c in reversed(rows) if c)).hexdigest()
+
+
+def test_digest_streams_blocks(spark, monkeypatch):
+    long = [("é" * 400_000) + str(i) for i in range(5)]
+    f = Flow(spark.createDataFrame(list(enumerate(long)), "i int, value string").repartition(3), "i")
+    assert f.digest().df.first().value == hashlib.md5("".join(long).encode()).hexdigest()
+    assert Flow(f.df.where("false"), "i").digest().df.collect()[0].value == hashlib.md5(b"").hexdigest()
+    # ranges in any order, a block a chunk
+    monkeypatch.setattr(text, "BLOCK", 1)
+    arrow = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "start", "size", "data"])
+    chunks = pa.RecordBatch.from_pydict({"part": [0, 0, 0, 2, 63], "end": [2, 2, 3, 1, 4], "data": [b"ab", None, b"c", b"d", b"efgh"]})
+    blocks = [tuple(c[0].as_py() for c in b.columns) for b in text._packed(iter([chunks]))]
+    assert [b[:3] for b in blocks] == [(0, 0, 2), (0, 2, 1), (2, 0, 1), (63, 0, 4)]
+    digest = lambda parts, rows=blocks: next(text._hashed(iter([arrow([(p, -1, 0, b""), *(b for b in rows if b[0] == p)]) for p in parts]), "x", "md5"))["x"][0].as_py()
+    for parts in (range(64), range(63, -1, -1), [1, 0, *range(2, 64)], random.Random(3).sample(range(64), 64)):
+        assert digest(parts) == hashlib.md5(b"abcdefgh").hexdigest()
+    with pytest.raises(RuntimeError, match="range 3 of 64 is missing"):
+        digest([p for p in range(64) if p != 3])
+    with pytest.raises(RuntimeError, match="not where it belongs"):
+        digest(range(64), blocks[1:])
+
+
 def test_pushed_stream(spark, tmp_path):
     pushed = PushedStream(spark, "n long", str(tmp_path))
     assert run_available(pushed.frame(), f"{tmp_path}/a").count() == 0
